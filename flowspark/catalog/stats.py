@@ -81,7 +81,7 @@ def _(n):
     return st.rank_stations(n.dense, None, "mean_per_day", top=7, ascending=True)
 
 
-@register("a3_rank_peak_slot", "station_key value:i at:t network_median:f", ctes="flows", sql="SELECT station_key, value, "at", median(value) OVER () AS network_median FROM (SELECT station_key, max(reading) AS value, first(slot ORDER BY reading DESC, slot) AS "at" FROM flows GROUP BY 1) ORDER BY value DESC, station_key LIMIT 10")
+@register("a3_rank_peak_slot", "station_key value:i at:t network_median:f", ctes="flows", sql="""SELECT station_key, value, "at", median(value) OVER () AS network_median FROM (SELECT station_key, max(reading) AS value, first(slot ORDER BY reading DESC, slot) AS "at" FROM flows GROUP BY 1) ORDER BY value DESC, station_key LIMIT 10""")
 def _(n):
     return st.rank_stations(n.flows, None, "peak_slot")
 
