@@ -222,7 +222,7 @@ def _(n):
 @register("a32_backtest", "total_ratio:f event_ratio:f ceiling_expected:f ceiling_observed:i hour_ratio_min:f hour_ratio_max:f ceiling_corr:f daily_corr:f daily_error_pct:f", ctes="risk", sql="""
 WITH h AS (SELECT hour(slot) h, sum(reading)/sum(expected) r FROM risk WHERE hour(slot)>0 GROUP BY 1), s AS (SELECT station_key, sum(p) e, count_if(reading>=ceiling) o FROM risk GROUP BY 1), d AS (SELECT day, sum(reading) o, sum(expected) e FROM risk GROUP BY 1)
 SELECT sum(reading)/sum(expected) total_ratio, sum(reading) FILTER (event_load>50)/sum(expected) FILTER (event_load>50) event_ratio, sum(p) ceiling_expected, count_if(reading>=ceiling) ceiling_observed, (SELECT min(r) FROM h) hour_ratio_min, (SELECT max(r) FROM h) hour_ratio_max,
-(SELECT corr(e,o) FROM s) ceiling_corr, (SELECT corr(o,e) FROM d) daily_corr, (SELECT avg(abs(o-e)/o)*100 FROM d) daily_error_pct FROM risk""")
+(SELECT covar_pop(e,o)/nullif(stddev_pop(e)*stddev_pop(o),0) FROM s) ceiling_corr, (SELECT corr(o,e) FROM d) daily_corr, (SELECT avg(abs(o-e)/o)*100 FROM d) daily_error_pct FROM risk""")
 def _(n):
     return ex.backtest(risk(n))
 

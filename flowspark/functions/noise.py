@@ -45,3 +45,8 @@ def any_of(p: Column) -> Column:
     """Aggregate 1 - prod(1 - p) without underflow; an exact 1 stays 1."""
     certain = F.max(F.when(p >= 1, 1).otherwise(0)) == 1
     return F.when(certain, F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.when(p < 1, F.log1p(-p)).otherwise(F.lit(0.0)))))
+
+
+def safe_corr(a, b) -> Column:
+    """Pearson correlation; null when a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

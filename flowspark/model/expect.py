@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
 from flowspark.functions import time as t
-from flowspark.functions.noise import any_of, expected_reading, over_capacity, p_ceiling, quantile, weather_multiplier
+from flowspark.functions.noise import safe_corr, any_of, expected_reading, over_capacity, p_ceiling, quantile, weather_multiplier
 from flowspark.model.fit import Fit
 from flowspark.operators.joins import after_reopening, closed_slots, event_load
 from flowspark.operators.weather import daily_temperature
@@ -158,18 +158,18 @@ def band_coverage(fc: DataFrame, min_level: float = 5.0) -> DataFrame:
 
 def calibration_by_day(risk: DataFrame) -> DataFrame:
     g = risk.groupBy("day").agg(F.sum("reading").alias("observed"), F.sum("expected").alias("expected"))
-    return g.withColumn("ratio", F.col("observed") / F.col("expected"))
+    return g.withColumn("ratio", F.try_divide("observed", "expected"))
 
 
 def calibration_by_station(risk: DataFrame) -> DataFrame:
     g = risk.groupBy("station_key").agg(F.sum("reading").alias("observed"), F.sum("expected").alias("expected"))
-    return g.withColumn("ratio", F.col("observed") / F.col("expected"))
+    return g.withColumn("ratio", F.try_divide("observed", "expected"))
 
 
 def far_station_days(risk: DataFrame, min_expected: float = 2000.0, top: int = 6) -> DataFrame:
     """Station-days furthest from the model on the log scale."""
     g = risk.groupBy("station_key", "day").agg(F.sum("reading").alias("observed"), F.sum("expected").alias("expected"))
-    g = g.filter((F.col("expected") > min_expected) & (F.col("observed") > 0)).withColumn("ratio", F.col("observed") / F.col("expected"))
+    g = g.filter((F.col("expected") > min_expected) & (F.col("observed") > 0)).withColumn("ratio", F.try_divide("observed", "expected"))
     return g.orderBy(F.abs(F.log("ratio")).desc(), "station_key", "day").limit(top)
 
 
@@ -179,14 +179,14 @@ def backtest(risk: DataFrame) -> DataFrame:
     crowd = F.col("event_load") > 50
     part = lambda c: F.sum(F.when(crowd, F.col(c)))
     tot = risk.agg(
-        (F.sum("reading") / F.sum("expected")).alias("total_ratio"), (part("reading") / part("expected")).alias("event_ratio"),
+        F.try_divide(F.sum("reading"), F.sum("expected")).alias("total_ratio"), F.try_divide(part("reading"), part("expected")).alias("event_ratio"),
         F.sum("p").alias("ceiling_expected"), F.count_if(hit).alias("ceiling_observed"),
     )
-    hr = risk.groupBy(F.hour("slot").alias("h")).agg((F.sum("reading") / F.sum("expected")).alias("r")).filter("h > 0")
+    hr = risk.groupBy(F.hour("slot").alias("h")).agg(F.try_divide(F.sum("reading"), F.sum("expected")).alias("r")).filter("h > 0")
     hr = hr.agg(F.min("r").alias("hour_ratio_min"), F.max("r").alias("hour_ratio_max"))
-    stn = risk.groupBy("station_key").agg(F.sum("p").alias("e"), F.count_if(hit).alias("o")).agg(F.corr("e", "o").alias("ceiling_corr"))
+    stn = risk.groupBy("station_key").agg(F.sum("p").alias("e"), F.count_if(hit).alias("o")).agg(safe_corr("e", "o").alias("ceiling_corr"))
     day = calibration_by_day(risk).agg(
-        F.corr("observed", "expected").alias("daily_corr"), (F.avg(F.abs(F.col("observed") - F.col("expected")) / F.col("observed")) * 100).alias("daily_error_pct")
+        safe_corr("observed", "expected").alias("daily_corr"), (F.avg(F.try_divide(F.abs(F.col("observed") - F.col("expected")), F.col("observed"))) * 100).alias("daily_error_pct")
     )
     for other in (hr, stn, day):
         for c in other.columns:

@@ -213,17 +213,19 @@ def share_likelihood(load_cells: DataFrame, rounds: int = 3, points: int = 31, u
     c = load_cells.filter("u > 0").select(
         "venue_key", "station_key", F.greatest("base", F.lit(0.5)).alias("b"), "u", "ceiling",
         (F.col("reading") >= F.col("ceiling")).alias("cens"), F.least(F.col("reading") + 0.5, F.col("ceiling").cast("double")).alias("xc"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     lam = F.col("b") + F.col("s") * F.col("u")
     nll = F.when(F.col("cens"), F.col("ceiling") / lam).otherwise(F.log(lam) + F.col("xc") / lam)
     rng = c.select("venue_key", "station_key").distinct().withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(upper))
     zero = c.withColumn("s", F.lit(0.0)).groupBy("venue_key", "station_key").agg(F.sum(nll).alias("nll0"), F.avg(F.col("cens").cast("double")).alias("capped"))
+    zero = cut(zero)
     for _ in range(rounds):
         step = (F.col("hi") - F.col("lo")) / (points - 1)
         grid = rng.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("venue_key", "station_key", (F.col("lo") + F.col("i") * step).alias("s"), step.alias("step"))
         g = c.join(grid, ["venue_key", "station_key"]).groupBy("venue_key", "station_key", "s", "step").agg(F.sum(nll).alias("nll"))
         best = cut(g.groupBy("venue_key", "station_key").agg(F.min_by("s", F.struct("nll", "s")).alias("share"), F.min("nll").alias("nll"), F.max("step").alias("step")))
         rng = best.select("venue_key", "station_key", F.greatest(F.col("share") - F.col("step"), F.lit(0.0)).alias("lo"), F.least(F.col("share") + F.col("step"), F.lit(upper)).alias("hi"))
+    c.unpersist()
     return best.join(zero, ["venue_key", "station_key"]).select("venue_key", "station_key", "share", (2 * (F.col("nll0") - F.col("nll"))).alias("lr"), "capped")
 
 
