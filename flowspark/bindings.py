@@ -164,6 +164,7 @@ class Net:
             (F.lit(52.40) + k * 0.01).alias("lat"),
             (F.lit(13.20) + ((k * 7) % 25) * 0.003).alias("lon"),
             F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first)).alias("lines"),
+            (k % 6 == 0).alias("is_rail"),
         )
 
     @cached_property

@@ -100,7 +100,7 @@ cte(
     "stations", "",
     f"SELECT {station_of('n_nationkey')} AS station_key, n_name AS name, n_nationkey AS k, 52.40::DOUBLE+n_nationkey*0.01::DOUBLE AS lat, "
     "13.20::DOUBLE+((n_nationkey*7)%25)*0.003::DOUBLE AS lon, CASE WHEN n_nationkey%4=0 THEN ['L'||CAST(n_regionkey AS VARCHAR),'L'||CAST((n_regionkey+1)%5 AS VARCHAR)] "
-    "ELSE ['L'||CAST(n_regionkey AS VARCHAR)] END AS lines FROM nation",
+    "ELSE ['L'||CAST(n_regionkey AS VARCHAR)] END AS lines, n_nationkey%6=0 AS is_rail FROM nation",
 )
 cte(
     "line_stops", "stations",

@@ -29,14 +29,18 @@ cte("base", "dense fw1 fp1 caps wxm", "SELECT d.*, ceiling, w*p*multiplier AS ba
 cte("ccd", "ccells", "SELECT DISTINCT station_key, slot FROM ccells")
 
 
-def _lam(name, load):
-    cte(f"lost_{name}", "ccells base eload", f"SELECT closure_id, c.station_key, sum(base+{load}) AS lost FROM ccells c JOIN base b ON b.station_key=c.station_key AND b.slot=c.slot LEFT JOIN eload e ON e.station_key=c.station_key AND e.slot=c.slot GROUP BY 1,2")
+def _lam(name, load, base="base"):
+    cte(f"lost_{name}", f"ccells {base} eload", f"SELECT closure_id, c.station_key, sum(base+{load}) AS lost FROM ccells c JOIN {base} b ON b.station_key=c.station_key AND b.slot=c.slot LEFT JOIN eload e ON e.station_key=c.station_key AND e.slot=c.slot GROUP BY 1,2")
     cte(f"reb_{name}", f"reopen lost_{name}", f"SELECT r.station_key, r.slot, sum(lost*([0.39,0.12,0.05]::DOUBLE[])[r.r+1]) AS rebound FROM reopen r JOIN lost_{name} l ON l.closure_id=r.closure_id AND l.station_key=r.station_key WHERE r.r<3 GROUP BY 1,2")
-    cte(f"lam_{name}", f"base eload ccd reb_{name}", f"SELECT b.*, {load} AS load, c.slot IS NOT NULL AS closed, CASE WHEN c.slot IS NOT NULL THEN 0::DOUBLE ELSE base+{load}+coalesce(rebound,0) END AS lam FROM base b LEFT JOIN eload e ON e.station_key=b.station_key AND e.slot=b.slot LEFT JOIN ccd c ON c.station_key=b.station_key AND c.slot=b.slot LEFT JOIN reb_{name} r ON r.station_key=b.station_key AND r.slot=b.slot")
+    cte(f"lam_{name}", f"{base} eload ccd reb_{name}", f"SELECT b.*, {load} AS load, c.slot IS NOT NULL AS closed, CASE WHEN c.slot IS NOT NULL THEN 0::DOUBLE ELSE base+{load}+coalesce(rebound,0) END AS lam FROM {base} b LEFT JOIN eload e ON e.station_key=b.station_key AND e.slot=b.slot LEFT JOIN ccd c ON c.station_key=b.station_key AND c.slot=b.slot LEFT JOIN reb_{name} r ON r.station_key=b.station_key AND r.slot=b.slot")
 
 
 _lam("full", "coalesce(event_load,0)")
 _lam("none", "0::DOUBLE")
+cte("base18", "base", "SELECT * REPLACE (base/exp(-0.0185::DOUBLE*(tday-18)+0.29::DOUBLE*(1-exp(-prcp/0.6::DOUBLE))) AS base) FROM base")
+cte("basedry", "base", "SELECT * REPLACE (base/exp(0.29::DOUBLE*(1-exp(-prcp/0.6::DOUBLE))) AS base) FROM base")
+_lam("n18", "0::DOUBLE", "base18")
+_lam("ndry", "0::DOUBLE", "basedry")
 
 
 def er(lam):

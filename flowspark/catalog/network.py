@@ -157,7 +157,7 @@ def _(n):
     return g.legs(g.routes(od(n), ride_edges(n), 3.0))
 
 
-@register("n5b_timed_routes", "origin destination cost:f changes:i riders:i", ctes="tedges od", sql="""
+@register("n5b_timed_routes", "origin destination cost:f riders:i", ctes="tedges od", sql="""
 WITH RECURSIVE r USING KEY (origin, here, line) AS (SELECT DISTINCT origin, origin AS here, '' AS line, 0.0::DOUBLE AS cost, 0 AS changes FROM od
 UNION SELECT origin, here, line, min(cost), min(changes) FROM (SELECT q.origin, e.dst AS here, e.line, q.cost+e.cost+CASE WHEN q.line<>'' AND q.line<>e.line THEN 180 ELSE 0 END AS cost, 0 AS changes FROM r q JOIN tedges e ON e.src=q.here) n WHERE NOT EXISTS (SELECT 1 FROM recurring.r o WHERE o.origin=n.origin AND o.here=n.here AND o.line=n.line AND o.cost<=n.cost) GROUP BY 1,2,3)
 SELECT o.origin, o.destination, min(cost) AS cost, any_value(riders) riders FROM od o JOIN r ON r.origin=o.origin AND r.here=o.destination GROUP BY 1,2""")
