@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from flowspark.catalog.ctes import cte, hav
-from flowspark.catalog.model import er, quick_fit, risk
+from flowspark.catalog.model import er, quick_fit
+from flowspark.catalog.model import risk as lazy_risk
 from flowspark.catalog.network import levels
 from flowspark.catalog.registry import register
+from flowspark.functions.lineage import cut
 from flowspark.functions import time as t
 from flowspark.functions.noise import expected_reading, over_capacity, quantile
 from flowspark.model import expect as ex
@@ -26,6 +28,11 @@ from flowspark.plans import reports as rp
 from flowspark.plans import scenarios as sc
 
 
+def risk(n, fit=None):
+    """Risk table, written once to the checkpoint folder because the reports read it several times."""
+    return cut(lazy_risk(n, fit))
+
+
 def shares(n):
     return ft.rule_shares(n.venues, n.stations, n.params)
 
@@ -35,8 +42,8 @@ def parsed_suspensions(n):
 
 
 # -- events -----------------------------------------------------------------------------------
-cte("show", "crowd", 'SELECT venue_key, start, "end", min(crowd_id) AS show_id, sum(attendance) AS attendance, count(*) AS listings FROM crowd GROUP BY 1,2,3')
-cte("phase", "show", """SELECT show_id, venue_key, attendance, 'arrival' AS phase, start-INTERVAL 90 MINUTE AS lo, start+INTERVAL 15 MINUTE AS hi FROM show UNION ALL SELECT show_id, venue_key, attendance, 'departure', "end", "end"+INTERVAL 120 MINUTE FROM show""")
+cte("gigs", "crowd", 'SELECT venue_key, start, "end", min(crowd_id) AS show_id, sum(attendance) AS attendance, count(*) AS listings FROM crowd GROUP BY 1,2,3')
+cte("phase", "gigs", """SELECT show_id, venue_key, attendance, 'arrival' AS phase, start-INTERVAL 90 MINUTE AS lo, start+INTERVAL 15 MINUTE AS hi FROM gigs UNION ALL SELECT show_id, venue_key, attendance, 'departure', "end", "end"+INTERVAL 120 MINUTE FROM gigs""")
 cte("evrep", "phase vshare risk", """SELECT show_id, p.venue_key, phase, attendance, r.station_key, sum(reading) AS observed, sum(expected0) AS normal, sum(expected) AS model, sum(reading)-sum(expected0) AS excess, (sum(reading)-sum(expected0))/sqrt(sum(expected0*expected0)+1) AS z, count_if(reading>=ceiling) AS ceiling_hits
 FROM phase p JOIN vshare v USING(venue_key) JOIN risk r ON r.station_key=v.station_key AND r.slot>=p.lo AND r.slot<p.hi GROUP BY 1,2,3,4,5""")
 
@@ -194,8 +201,8 @@ def _(n):
 
 
 @register("e11_disruption_response", "role extra:f2 expected:f2 change:f z:f", ctes="risk closures srole e2 stations", sql=f"""
-WITH w AS (SELECT closure_id, station_key k, start s, "end" e FROM closures), nb AS (SELECT closure_id, dst station_key, 'adjacent' role, s, e FROM w JOIN e2 ON src=k),
-wk AS (SELECT closure_id, b.station_key, 'walkable' role, s, e FROM w JOIN stations a ON a.station_key=k JOIN stations b ON b.station_key<>k WHERE {hav('a', 'b')}<=2.0 AND NOT EXISTS (SELECT 1 FROM e2 WHERE src=k AND dst=b.station_key)),
+WITH w AS (SELECT closure_id, station_key kk, start s, "end" e FROM closures), nb AS (SELECT closure_id, dst station_key, 'adjacent' role, s, e FROM w JOIN e2 ON src=kk),
+wk AS (SELECT closure_id, b.station_key, 'walkable' role, s, e FROM w JOIN stations a ON a.station_key=kk JOIN stations b ON b.station_key<>kk WHERE {hav('a', 'b')}<=2.0 AND NOT EXISTS (SELECT 1 FROM e2 WHERE src=kk AND dst=b.station_key)),
 r AS (SELECT * FROM nb UNION ALL SELECT * FROM wk UNION ALL SELECT closure_id, station_key, 'susp_'||role, start, "end" FROM srole)
 SELECT role, sum(reading-expected) extra, sum(expected) expected, sum(reading-expected)/greatest(sum(expected),1) change, sum(reading-expected)/sqrt(greatest(sum(expected*expected),1)) z FROM r JOIN risk x ON x.station_key=r.station_key AND x.slot>=r.s AND x.slot<r.e GROUP BY 1""")
 def _(n):
@@ -265,8 +272,8 @@ def _(n):
     return an.energy_residual_z(d, en.energy_model(d))
 
 
-@register("e15_spill_over", "show_id:i day:d station_key km:f observed:i z:f", ctes="show vkm vshare risk", sql="""
-WITH s AS (SELECT *, CAST(start-INTERVAL 5 HOUR AS DATE) AS day FROM show), sp AS (SELECT DISTINCT day, station_key FROM s JOIN vshare USING(venue_key)),
+@register("e15_spill_over", "show_id:i day:d station_key km:f observed:i z:f", ctes="gigs vkm vshare risk", sql="""
+WITH s AS (SELECT *, CAST(start-INTERVAL 5 HOUR AS DATE) AS day FROM gigs), sp AS (SELECT DISTINCT day, station_key FROM s JOIN vshare USING(venue_key)),
 c AS (SELECT show_id, day, k.station_key, km, "end" e0 FROM s JOIN vkm k ON k.venue_key=s.venue_key AND km<=2.5 WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.day=s.day AND sp.station_key=k.station_key) QUALIFY rank() OVER (PARTITION BY day, k.station_key ORDER BY km)=1)
 SELECT * FROM (SELECT show_id, c.day, c.station_key, km, sum(reading) observed, (sum(reading)-sum(expected0))/sqrt(sum(expected0*expected0)+1) z FROM c JOIN risk r ON r.station_key=c.station_key AND r.slot>=c.e0 AND r.slot<=c.e0+INTERVAL 105 MINUTE GROUP BY 1,2,3,4) WHERE z>0.5""")
 def _(n):
@@ -335,7 +342,7 @@ def reference(n, f, tmean=None):
 
 def staff_values(n, tmean=18.0):
     f = quick_fit(n)
-    return op.staff_value(risk(n, f), reference(n, f, tmean))
+    return cut(op.staff_value(risk(n, f), reference(n, f, tmean)))
 
 
 cte("values18", "risk lam_n18", "SELECT r.*, over_ref, greatest(\"over\"-over_ref,0) AS extra, greatest(\"over\"-over_ref,0)+0.3::DOUBLE*event_load AS value FROM risk r JOIN (SELECT station_key, slot, lam*CASE WHEN lam>0 THEN exp(-ceiling/lam) ELSE 0 END AS over_ref FROM lam_n18) USING(station_key, slot)")
@@ -465,9 +472,9 @@ def _(n):
     """All brief sections of all days in one table."""
     f = quick_fit(n)
     r = risk(n, f)
-    v = op.staff_value(r, reference(n, f, 18.0))
+    v = cut(op.staff_value(r, reference(n, f, 18.0)))
     roster = op.staff_roster(op.staff_picks(v, 10), v)
-    plan = op.reinforcement_plan(op.staff_value(r, reference(n, f)), n.stations, n.weather, LOW, 6, n.clock)
+    plan = op.reinforcement_plan(cut(op.staff_value(r, reference(n, f))), n.stations, n.weather, LOW, 6, n.clock)
     return rp.daily_brief(r, n.weather, n.crowd_events, n.closures, op.watch_windows(r, 6), roster, plan, n.clock)
 
 
@@ -476,14 +483,14 @@ def fired(n, r):
     return win.long_rules(win.alert_rules(c))
 
 
-@register("r9_early_warning", "rule alerts:i alerts_per_day:f share_explained:f detected:i events_detected:f median_delay:f score:f", ctes="fc dense show vshare spine reopen", sql=f"""
+@register("r9_early_warning", "rule alerts:i alerts_per_day:f share_explained:f detected:i events_detected:f median_delay:f score:f", ctes="fc dense gigs vshare spine reopen", sql=f"""
 WITH a AS (SELECT *, {"CASE WHEN lam0>0 THEN least(floor(-lam0*ln(0.01::DOUBLE)),ceiling) ELSE 0 END"} q99n FROM fc),
 f0 AS (SELECT *, reading>normal_q95 AND lag(reading) OVER w>lag(normal_q95) OVER w AS r1, reading>normal_q95 AND lag(reading) OVER w>lag(normal_q95) OVER w AND lag(reading,2) OVER w>lag(normal_q95,2) OVER w AS r2, reading>q99n AND lag(reading) OVER w>lag(q99n) OVER w AS r3,
 count(*) OVER v=4 AND (sum(reading) OVER v-sum(expected0) OVER v)/sqrt(greatest(sum(expected0*expected0) OVER v,1))>3 AS r4 FROM a WINDOW w AS (PARTITION BY station_key, day ORDER BY tod), v AS (PARTITION BY station_key, day ORDER BY tod ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
 fr AS (SELECT rule, station_key, slot, day, tod, CAST(day-DATE '1970-01-01' AS BIGINT)*80+tod op FROM (SELECT station_key, slot, day, tod, r1, r2, r3, r4 FROM f0) UNPIVOT (fired FOR rule IN (r1 AS 'R1', r2 AS 'R2', r3 AS 'R3', r4 AS 'R4')) WHERE fired),
 ep AS (SELECT * FROM fr QUALIFY op-coalesce(lag(op) OVER (PARTITION BY rule, station_key ORDER BY op),-1000)>4),
 cz AS (SELECT r.station_key, r.slot, max(CASE WHEN event_load>greatest(20,0.3*lam0) OR prcp>=0.5 OR EXISTS (SELECT 1 FROM reopen q WHERE q.station_key=r.station_key AND q.slot=r.slot) THEN 1 ELSE 0 END) OVER (PARTITION BY r.station_key ORDER BY r.day, r.tod ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) ex FROM fc r),
-big AS (SELECT *, time_bucket(INTERVAL 15 MINUTE,"end") e0 FROM show WHERE attendance>=1000 AND venue_key IN (SELECT venue_key FROM vshare WHERE share>=0.2)),
+big AS (SELECT *, time_bucket(INTERVAL 15 MINUTE,"end") e0 FROM gigs WHERE attendance>=1000 AND venue_key IN (SELECT venue_key FROM vshare WHERE share>=0.2)),
 sl AS (SELECT show_id, venue_key, s.slot, row_number() OVER (PARTITION BY show_id ORDER BY s.slot)-1 step FROM big JOIN spine s ON s.slot>=e0 AND s.slot<e0+INTERVAL 120 MINUTE),
 dt AS (SELECT rule, show_id, min(step)*15 delay FROM sl JOIN vshare v ON v.venue_key=sl.venue_key AND share>=0.2 JOIN fr ON fr.station_key=v.station_key AND fr.slot=sl.slot GROUP BY 1,2)
 SELECT a.rule, alerts, alerts/(SELECT count(DISTINCT day) FROM dense) alerts_per_day, se share_explained, coalesce(det,0) detected, coalesce(det,0)/(SELECT count(*) FROM big) events_detected, md median_delay, se*coalesce(det,0)/(SELECT count(*) FROM big) score FROM (SELECT rule, count(*) alerts, avg(ex) se FROM ep JOIN cz USING(station_key, slot) GROUP BY 1) a LEFT JOIN (SELECT rule, count(*) det, median(delay) md FROM dt GROUP BY 1) USING(rule)""")
@@ -523,8 +530,8 @@ def _(n):
     """Content of the incident report of every day, section by section."""
     f = quick_fit(n)
     r, s = risk(n, f), shares(n)
-    v = op.staff_value(r, reference(n, f, 18.0))
-    plan = op.reinforcement_plan(op.staff_value(r, reference(n, f)), n.stations, n.weather, LOW, 8, n.clock)
+    v = cut(op.staff_value(r, reference(n, f, 18.0)))
+    plan = op.reinforcement_plan(cut(op.staff_value(r, reference(n, f))), n.stations, n.weather, LOW, 8, n.clock)
     w = op.watch_windows(r, 8)
     brief = rp.daily_brief(r, n.weather, n.crowd_events, n.closures, w, op.staff_roster(op.staff_picks(v, 10), v), plan, n.clock)
     checks = ev.event_checks(r, n.crowd_events, s, n.clock)

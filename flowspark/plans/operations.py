@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, Clock
 from flowspark.functions import time as t
+from flowspark.functions.lineage import cut
 from flowspark.functions.noise import expected_reading, over_capacity, quantile
 from flowspark.operators import windows as win
 from flowspark.operators.joins import nearest_k, within_km
@@ -172,7 +173,8 @@ def reinforcement_plan(values: DataFrame, stations: DataFrame, weather: DataFram
     All windows of all days are planned together: the train increments are exploded and the
     smallest sufficient one kept; the later modes are a fixed sequence of column steps.
     """
-    wins = overload_windows(values, a, top)
+    # A few windows per day feed every later step: fix them once.
+    wins = cut(overload_windows(values, a, top))
     cells = wins.withColumn("tod", F.explode(F.sequence("tod_from", "tod_to"))).join(values.drop("score", "rank"), ["station_key", "day", "tod"])
     key = ["day", "rank", "station_key", "tod_from", "tod_to", "score"]
     first_hour = F.hour(F.min("slot"))
@@ -188,7 +190,7 @@ def reinforcement_plan(values: DataFrame, stations: DataFrame, weather: DataFram
     good = F.when(F.col("left") <= F.col("target"), F.col("df"))
     pick = left.groupBy("day", "rank").agg(F.coalesce(F.min(good), F.max("df")).alias("df"))
     left = left.join(pick, ["day", "rank", "df"]).select("day", "rank", "df", "left")
-    p = base.join(left, ["day", "rank"]).withColumn("trains_absorb", (F.col("ov") - F.col("left")) / F.col("hours"))
+    p = cut(base.join(left, ["day", "rank"])).withColumn("trains_absorb", (F.col("ov") - F.col("left")) / F.col("hours"))
     p = p.withColumn("resid", F.greatest(F.col("left") - F.col("oref"), F.lit(0.0)) / F.col("hours"))
     p = p.join(_rail(stations, a), "station_key", "left")
     take = F.when(F.col("rail").isNotNull(), F.least("resid", F.lit(float(a.rail_extra_max * a.rail_spare)))).otherwise(F.lit(0.0))
