@@ -4,7 +4,7 @@ import importlib
 
 from flowspark.catalog.registry import ENTRIES, run
 
-MODULES = ("stats", "weather_energy", "toolkit", "model", "network", "events_plans")
+MODULES = ("stats", "weather_energy", "toolkit", "model", "network", "events_plans", "records")
 
 
 def load() -> dict:
