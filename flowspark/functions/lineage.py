@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="flowspark-ckpt-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a materialised model table for broadcast after counting it; a larger one joins by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

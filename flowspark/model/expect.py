@@ -6,7 +6,7 @@ cells, events and closures, so many scenarios are evaluated in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
@@ -24,6 +24,11 @@ def station_slots(slots: DataFrame, fit: Fit, stations: list[str] | None = None)
     return slots.withColumn("station_key", F.explode(keys))
 
 
+def slot_weather(weather: DataFrame) -> DataFrame:
+    """One row per slot: precipitation and the service day's mean temperature."""
+    return weather.select("slot", "day", F.col("prcp").alias("_p")).join(daily_temperature(weather).withColumnRenamed("tday", "_t"), "day").drop("day")
+
+
 def with_weather(cells: DataFrame, weather: DataFrame | None) -> DataFrame:
     """Attach tmean and prcp. Without a weather table the cells must carry both (a scenario).
 
@@ -31,8 +36,7 @@ def with_weather(cells: DataFrame, weather: DataFrame | None) -> DataFrame:
     """
     if weather is None:
         return cells
-    c = cells.drop("tmean", "prcp").join(weather.select("slot", F.col("prcp").alias("_p")), "slot", "left")
-    c = c.join(daily_temperature(weather).select("day", F.col("tday").alias("_t")), "day", "left")
+    c = cells.drop("tmean", "prcp").join(slot_weather(weather), "slot", "left")
     missing = F.raise_error(F.lit("no weather for some slots: give a scenario with tmean and prcp"))
     ok = F.col("_p").isNotNull() & F.col("_t").isNotNull()
     return c.withColumn("prcp", F.when(ok, F.col("_p")).otherwise(missing.cast("double"))).withColumn("tmean", F.col("_t")).drop("_p", "_t")
@@ -46,51 +50,56 @@ def base_lambda(fit: Fit, cells: DataFrame, weather: DataFrame | None = None) ->
     return c.withColumn("base", F.col("w") * F.col("p") * mult).drop("w", "p")
 
 
-def expected(
-    fit: Fit, cells: DataFrame, weather: DataFrame | None = None, events: DataFrame | None = None, closures: DataFrame | None = None,
-    params: ModelParams = DEFAULT_PARAMS, clock: Clock = DEFAULT_CLOCK, keys=(),
-) -> DataFrame:
-    """Cells with base, event_load, closed and lam; ``closed`` cells have lam 0."""
-    k = list(keys)
+def _intensity(fit, cells, weather, events, closures, params, clock, k) -> DataFrame:
+    """Cells with base, load, closed and both rebounds (with and without event load), in one pass."""
     c = base_lambda(fit, cells, weather)
     load = event_load(events, fit.shares, params, clock, k) if events is not None else None
 
     def add_load(df: DataFrame) -> DataFrame:
         if load is None:
-            return df.withColumn("event_load", F.lit(0.0))
-        return df.join(load, [*k, "station_key", "slot"], "left").withColumn("event_load", F.coalesce("event_load", F.lit(0.0)))
+            return df.withColumn("load", F.lit(0.0))
+        return df.join(load.withColumnRenamed("event_load", "load"), [*k, "station_key", "slot"], "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
 
-    c = add_load(c).withColumn("lam", F.col("base") + F.col("event_load"))
+    c = add_load(c)
     if closures is None:
-        return c.withColumn("closed", F.lit(False))
+        return c.withColumn("closed", F.lit(False)).withColumn("rebound", F.lit(0.0)).withColumn("rebound0", F.lit(0.0))
     inside = closed_slots(closures, clock, k)
-    scen = None
     if weather is None:
         scen = cells.select(*k, "slot", "tmean", "prcp").distinct()
         priced = base_lambda(fit, inside.join(scen, [*k, "slot"]))
     else:
         priced = base_lambda(fit, inside.join(weather.select("slot"), "slot", "left_semi"), weather)
-    lost = add_load(priced).groupBy(*k, "closure_id", "station_key").agg(F.sum(F.col("base") + F.col("event_load")).alias("lost"))
+    lost = add_load(priced).groupBy(*k, "closure_id", "station_key").agg(F.sum(F.col("base") + F.col("load")).alias("lost"), F.sum("base").alias("lost0"))
     frac = F.element_at(F.array(*[F.lit(float(f)) for f in params.rebound]), F.col("r") + 1)
     reb = after_reopening(closures, len(params.rebound), clock, k).join(lost, [*k, "closure_id", "station_key"])
-    reb = reb.groupBy(*k, "station_key", "slot").agg(F.sum(frac * F.col("lost")).alias("rebound"))
-    shut = inside.select(*k, "station_key", "slot").distinct().withColumn("closed", F.lit(True))
-    c = c.join(shut, [*k, "station_key", "slot"], "left").join(reb, [*k, "station_key", "slot"], "left")
-    c = c.withColumn("closed", F.coalesce("closed", F.lit(False)))
-    return c.withColumn("lam", F.when(F.col("closed"), F.lit(0.0)).otherwise(F.col("lam") + F.coalesce("rebound", F.lit(0.0)))).drop("rebound")
+    reb = reb.select(*k, "station_key", "slot", (frac * F.col("lost")).alias("rebound"), (frac * F.col("lost0")).alias("rebound0"), F.lit(0).alias("shut"))
+    shut = inside.select(*k, "station_key", "slot", F.lit(0.0).alias("rebound"), F.lit(0.0).alias("rebound0"), F.lit(1).alias("shut"))
+    eff = reb.unionByName(shut).groupBy(*k, "station_key", "slot").agg(F.sum("rebound").alias("rebound"), F.sum("rebound0").alias("rebound0"), (F.max("shut") == 1).alias("closed"))
+    return c.join(eff, [*k, "station_key", "slot"], "left").na.fill(0.0, ["rebound", "rebound0"]).na.fill(False, ["closed"])
+
+
+def _lam(extra) -> Column:
+    return F.when(F.col("closed"), F.lit(0.0)).otherwise(F.col("base") + extra)
+
+
+def expected(
+    fit: Fit, cells: DataFrame, weather: DataFrame | None = None, events: DataFrame | None = None, closures: DataFrame | None = None,
+    params: ModelParams = DEFAULT_PARAMS, clock: Clock = DEFAULT_CLOCK, keys=(),
+) -> DataFrame:
+    """Cells with base, event_load, closed and lam; ``closed`` cells have lam 0."""
+    c = _intensity(fit, cells, weather, events, closures, params, clock, list(keys))
+    return c.withColumn("lam", _lam(F.col("load") + F.col("rebound"))).withColumnRenamed("load", "event_load").drop("rebound", "rebound0")
 
 
 def risk_table(
     fit: Fit, cells: DataFrame, weather=None, events=None, closures=None, params: ModelParams = DEFAULT_PARAMS, clock: Clock = DEFAULT_CLOCK, keys=(),
 ) -> DataFrame:
     """Cells with lam, lam0 (no events), p, over (demand above the ceiling), event_load (never negative) and both readings."""
-    k = list(keys)
-    full = expected(fit, cells, weather, events, closures, params, clock, k)
-    none = expected(fit, cells.select(*k, "station_key", "slot", "day", "tod", "daytype", *[c for c in ("tmean", "prcp") if c in cells.columns and weather is None]), weather, None, closures, params, clock, k)
-    j = full.withColumnRenamed("event_load", "raw_load").join(none.select(*k, "station_key", "slot", F.col("lam").alias("lam0")), [*k, "station_key", "slot"])
-    j = j.withColumn("event_load", F.greatest(F.col("lam") - F.col("lam0"), F.lit(0.0))).drop("raw_load")
-    j = j.withColumn("p", p_ceiling("lam", "ceiling")).withColumn("over", over_capacity("lam", "ceiling"))
-    return j.withColumn("expected", expected_reading("lam", "ceiling")).withColumn("expected0", expected_reading("lam0", "ceiling"))
+    c = _intensity(fit, cells, weather, events, closures, params, clock, list(keys))
+    c = c.withColumn("lam", _lam(F.col("load") + F.col("rebound"))).withColumn("lam0", _lam(F.col("rebound0"))).drop("load", "rebound", "rebound0")
+    c = c.withColumn("event_load", F.greatest(F.col("lam") - F.col("lam0"), F.lit(0.0)))
+    c = c.withColumn("p", p_ceiling("lam", "ceiling")).withColumn("over", over_capacity("lam", "ceiling"))
+    return c.withColumn("expected", expected_reading("lam", "ceiling")).withColumn("expected0", expected_reading("lam0", "ceiling"))
 
 
 def forecast(risk: DataFrame) -> DataFrame:

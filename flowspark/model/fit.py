@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
-from flowspark.functions.lineage import cut
+from flowspark.functions.lineage import broadcast_if_small, cut
 from flowspark.functions.noise import expected_reading
 from flowspark.operators.joins import closed_cells, event_load, kernel_load, nearest_k, within_km
 from flowspark.operators.stats import ceilings
@@ -65,10 +65,11 @@ def fit_core(grid: DataFrame, iters: int = 25) -> tuple[DataFrame, DataFrame, Da
         w = cut(used.groupBy("station_key").agg(F.avg("xc").alias("w")))
         m, p = None, None
         for _ in range(iters):
-            s = used.join(w, "station_key").groupBy("slot", "daytype", "tod").agg(F.sum(F.col("xc") / F.col("w")).alias("s"), F.sum("unc").alias("u"))
+            s = used.join(broadcast_if_small(w), "station_key").groupBy("slot", "daytype", "tod").agg(F.sum(F.col("xc") / F.col("w")).alias("s"), F.sum("unc").alias("u"))
             s = s.withColumn("m0", F.lit(1.0)) if m is None else s.join(m.select("slot", F.col("m").alias("m0")), "slot")
             p = s.groupBy("daytype", "tod").agg((F.sum(F.col("s") / F.col("m0")) / F.greatest(F.sum("u"), F.lit(1))).alias("p"))
-            m = cut(s.join(p, ["daytype", "tod"]).select("slot", "daytype", "tod", "p", (F.col("s") / F.col("p") / F.greatest("u", F.lit(1))).alias("m")))
+            # P has one row per day type and time of day, whatever the data.
+            m = cut(s.join(F.broadcast(p), ["daytype", "tod"]).select("slot", "daytype", "tod", "p", (F.col("s") / F.col("p") / F.greatest("u", F.lit(1))).alias("m")))
             a = used.filter("morning").join(m.select("slot", "p", "m"), "slot")
             w = cut(
                 a.groupBy("station_key").agg(
@@ -271,7 +272,7 @@ def fit_given_weather(cells, closures, venues, stations, weather_params: dict, i
     """One round of updates with a known weather rule and the distance-rule shares."""
     w, p, m = fit_core(fit_grid(cells, closures, params, clock), iters)
     st = w.join(ceilings(cells), "station_key")
-    return Fit(cut(st), p, m, weather_params, cut(rule_shares(venues, stations, params)))
+    return Fit(broadcast_if_small(cut(st)), F.broadcast(p), m, weather_params, cut(rule_shares(venues, stations, params)))
 
 
 def fit(cells, closures, weather, events, venues, stations, iters=25, rounds=2, params: ModelParams = DEFAULT_PARAMS, clock: Clock = DEFAULT_CLOCK) -> Fit:
@@ -286,7 +287,7 @@ def fit(cells, closures, weather, events, venues, stations, iters=25, rounds=2,
         scale = float(np.exp(wx["a0"]))
         p = p.withColumn("p", F.col("p") * scale)
         m = m.withColumn("m", F.col("m") / scale)
-        out = Fit(cut(w.join(ceilings(cells), "station_key")), cut(p), m, wx, rule)
+        out = Fit(broadcast_if_small(cut(w.join(ceilings(cells), "station_key"))), F.broadcast(cut(p)), m, wx, rule)
         normal = expected(out, cells, weather, None, closures, params, clock)
         learned = learn_shares(normal, events, venues, stations, rule, params, clock)
         out = replace(out, shares=cut(merge_shares(rule, learned)), learned=learned)
