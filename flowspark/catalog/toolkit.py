@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowspark.catalog.ctes import cte, hav
+from flowspark.catalog import stats as _stats  # noqa: F401  (defines shared expressions)
 from flowspark.catalog.registry import register
 from flowspark.functions import geo, noise
 from flowspark.functions import text as tx

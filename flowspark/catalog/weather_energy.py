@@ -1,6 +1,7 @@
 """Weather and energy on the bound tables."""
 
 from flowspark.catalog.ctes import cte, hav
+from flowspark.catalog import stats as _stats  # noqa: F401  (defines shared expressions)
 from flowspark.catalog.registry import register
 from flowspark.operators import energy as en
 from flowspark.operators import stats as st

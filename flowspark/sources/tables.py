@@ -52,7 +52,7 @@ def read_csv_any(spark: SparkSession, path: str, schema=None, header: bool = Tru
     names = [_clean_header(c) for c in cols]
     src = src.toDF(*names, "source_file", "source_rank")
     src = rescue_rows(src, names, sep)
-    return src.select(*[tx.repair(F.trim(c)).alias(c) for c in names], "source_file", "source_rank")
+    return src.select(*[tx.repair(F.trim(F.col(f"`{c}`"))).alias(c) for c in names], "source_file", "source_rank")
 
 
 def _clean_header(c: str) -> str:
