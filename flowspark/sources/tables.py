@@ -40,7 +40,8 @@ def read_csv_any(spark: SparkSession, path: str, schema=None, header: bool = Tru
     ``source_rank`` (file time) order overlapping files.
     """
     sep, enc = sniff(spark, path)
-    r = spark.read.option("sep", sep).option("encoding", enc).option("header", header).option("recursiveFileLookup", "true")
+    windows = enc == "windows-1252"
+    r = spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if windows else enc).option("header", header).option("recursiveFileLookup", "true")
     r = r.option("mode", "PERMISSIVE")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -52,7 +53,8 @@ def read_csv_any(spark: SparkSession, path: str, schema=None, header: bool = Tru
     names = [_clean_header(c) for c in cols]
     src = src.toDF(*names, "source_file", "source_rank")
     src = rescue_rows(src, names, sep)
-    return src.select(*[tx.repair(F.trim(F.col(f"`{c}`"))).alias(c) for c in names], "source_file", "source_rank")
+    cell = lambda c: tx.from_latin(F.col(f"`{c}`")) if windows else F.col(f"`{c}`")
+    return src.select(*[tx.repair(F.trim(cell(c))).alias(c) for c in names], "source_file", "source_rank")
 
 
 def _clean_header(c: str) -> str:

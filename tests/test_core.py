@@ -166,3 +166,15 @@ def test_flatten_json(spark):
     d = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": 2.5}]}, "d": "x"}')], "id int, j string")
     r = {(x["path"], x["value"]) for x in ta.flatten_json(d, "id", "j", 4).collect()}
     assert r == {("a.b.[0]", "1"), ("a.b.[1].c", "2.5"), ("d", "x")}
+
+
+def test_windows_encoded_file(spark, tmp_path):
+    p = tmp_path / "closures_b.csv"
+    p.write_bytes("when,duration,description – café\n6/10/2026 8:00,1h,Möckern – „Süd“\n".encode("cp1252"))
+    r = src.read_csv_any(spark, str(p)).first()
+    assert r[2] == "Möckern – „Süd“"
+
+
+def test_text_repair_leaves_sound_text(spark):
+    d = spark.createDataFrame([("JannowitzbrÃ¼cke",), ("Brücke",), ("ÂµÃ 日本",), (None,)], "s string")
+    assert [r[0] for r in d.select(tx.repair("s")).collect()] == ["Jannowitzbrücke", "Brücke", "ÂµÃ 日本", None]
