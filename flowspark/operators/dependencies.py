@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions import time as t
+from flowspark.functions.lineage import cut
 from flowspark.functions.noise import expected_reading
 
 
@@ -85,16 +86,16 @@ def event_hours(events: DataFrame, before_min: int, after_min: int, anchor: str
 
 def station_dependencies(z: DataFrame, events: DataFrame, edges: DataFrame, top: int = 8) -> DataFrame:
     """Unlinked pairs with the highest correlation: overall, outside event hours, after the event model, with the driving venue."""
-    z = z.persist()
+    z = cut(z)
     busy = event_hours(events, 120, 120).select("hour").distinct().withColumn("busy", F.lit(1))
     zc = z.join(busy, "hour", "left").na.fill(0, ["busy"])
-    p = pair_products(zc, ["zb", "zf"], "busy").persist()
+    p = cut(pair_products(zc, ["zb", "zf"], "busy"))
     tot = p.groupBy("a", "b").agg(F.sum("p_zb").alias("p_zb"), F.sum("p_zf").alias("p_zf"))
     calm_z = zc.filter("busy = 0")
     r = correlations(tot, z, "zb", "r").join(correlations(tot, z, "zf", "r_model"), ["a", "b"])
     r = r.join(correlations(p.filter("cls = 0").select("a", "b", "p_zb"), calm_z, "zb", "r_calm"), ["a", "b"], "left")
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    best = r.join(e, ["a", "b"], "left_anti").orderBy(F.col("r").desc(), "a", "b").limit(top)
+    best = cut(r.join(e, ["a", "b"], "left_anti").orderBy(F.col("r").desc(), "a", "b").limit(top))
     h = event_hours(events, 0, 120, "end").select("venue_key", "start", "end", "hour").distinct()
     za, zb = z.select(F.col("station_key").alias("a"), "hour", F.col("zb").alias("x")), z.select(F.col("station_key").alias("b"), "hour", F.col("zb").alias("y"))
     d = best.select("a", "b").join(za, "a").join(zb, ["b", "hour"]).join(h, "hour")
@@ -125,7 +126,7 @@ def specific_residuals(cells: DataFrame) -> DataFrame:
 
 def residual_dependencies(spec: DataFrame, hops: DataFrame, min_hops: int = 3, top: int = 5, max_lag: int = 2) -> DataFrame:
     """Pairs at least ``min_hops`` apart by residual correlation, with the best lag of up to two slots."""
-    spec = spec.persist()
+    spec = cut(spec)
     r = correlations(pair_products(spec, ["x"]), spec, "x", "r")
     h = hops.select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("d").alias("hops")).filter(F.col("hops") >= min_hops)
     cand = r.join(h, ["a", "b"]).orderBy(F.col("r").desc(), F.col("a").desc(), F.col("b").desc()).limit(top)

@@ -139,28 +139,26 @@ def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", word_
     """All positions at which an alias occurs in a text: (text columns, alias, pos), 1-based.
 
     Each text is scanned whole. A gazetteer up to ``max_regex`` aliases becomes one look-ahead
-    alternation, longest first, evaluated inside the JVM; it reports the longest alias at each
+    pattern with shared prefixes, evaluated inside the JVM; it reports the longest alias at each
     position. A larger gazetteer is joined on the first characters of every position instead,
     which gives the same rows.
     """
     n = aliases.limit(max_regex + 1).count()
     texts = texts.withColumn("_t", tx.fold(text_col))
     if 0 < n <= max_regex:
-        names = sorted((r[0] for r in aliases.select("alias").distinct().collect()), key=lambda a: (-len(a), a))
-        alt = "|".join(re.escape(a) for a in names)
+        names = sorted({r[0] for r in aliases.select("alias").distinct().collect()})
         b = r"(?<![a-z0-9])" if word_bounded else ""
         e = r"(?![a-z0-9])" if word_bounded else ""
-        # Cut the text at every look-ahead hit: the pieces' lengths give the positions.
-        hit = f"(?={b}({alt}){e})"
-        found = texts.filter(F.col("_t").rlike(hit)).withColumn("_h", F.regexp_extract_all("_t", F.lit(hit), F.lit(1)))
-        found = found.withColumn("_p", F.split("_t", hit))
-        # A hit at position 1 yields no leading empty piece, so piece i ends where hit i begins or one hit later.
-        first_at_one = F.size("_h") == F.size("_p")
-        lens = F.transform("_p", lambda s: F.length(s))
-        found = found.withColumn("_s", F.when(first_at_one, F.concat(F.array(F.lit(0)), lens)).otherwise(lens))
-        found = found.select("*", F.posexplode("_h").alias("_i", "alias"))
-        pos = F.aggregate(F.slice("_s", F.lit(1), F.col("_i") + 1), F.lit(0), lambda a, x: a + x) + 1
-        return found.withColumn("pos", pos).drop("_t", "_h", "_p", "_s", "_i")
+        any_name, longest = f"{b}({_prefix_tree(names, e)})", max(map(len, names))
+        # One pass cuts the text at every hit; the lengths of the pieces give the positions.
+        ends = F.aggregate(
+            F.split("_t", f"(?={any_name})"), F.array(F.lit(1)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s)))
+        )
+        # The name at a cut: read with the character before it, which a look-behind needs.
+        near = lambda p: F.substring(F.concat(F.lit(" "), F.col("_t")), p, F.lit(longest + 2))
+        hit = lambda p: F.struct(p.alias("pos"), F.regexp_extract(near(p), "(?s)^." + any_name, 1).alias("alias"))
+        found = texts.withColumn("_h", F.filter(F.transform(ends, hit), lambda x: x["alias"] != ""))
+        return found.select("*", F.explode("_h").alias("_x")).select("*", "_x.alias", "_x.pos").drop("_t", "_h", "_x")
     k = aliases.agg(F.min(F.length("alias"))).first()[0] or 1
     al = aliases.select("alias").distinct().withColumn("_g", F.substring("alias", 1, k))
     grams = texts.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))))
@@ -174,6 +172,19 @@ def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", word_
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_t", "_g", "_r")
 
 
+def _prefix_tree(names: list[str], end: str) -> str:
+    """Regular expression of a name list with shared prefixes written once; longer names are tried first."""
+    if not names:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in names:
+        heads.setdefault(w[:1], []).append(w[1:])
+    alts = [re.escape(h) + _prefix_tree(rest, end) for h, rest in heads.items() if h]
+    if "" in heads:
+        alts.append(end)
+    return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+
+
 def longest_mention(texts: DataFrame, aliases: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """Longest alias contained anywhere in each text; ties go to the earliest position."""
     m = mentions(texts, aliases, text_col)
