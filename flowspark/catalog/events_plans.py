@@ -284,7 +284,7 @@ def _(n):
 @register("a17_peak_time", "station_key wd_time wd_peak:f median_peak:f all_peak:f rank:i mean_of_peaks:f verdict pm_am_ratio:f ceiling_share:f", ctes="dense caps", sql="""
 WITH p AS (SELECT station_key, tod, avg(reading) FILTER (daytype=0) m, median(reading) FILTER (daytype=0) md, avg(reading) a FROM dense GROUP BY 1,2),
 g AS (SELECT station_key, first(tod ORDER BY m DESC, tod) wt, max(m) wd_peak, max(md) median_peak, max(a) all_peak FROM p GROUP BY 1),
-r AS (SELECT station_key, avg(v) FILTER (k='pm')/avg(v) FILTER (k='am') pm_am_ratio FROM (SELECT station_key, day, CASE WHEN tod BETWEEN 8 AND 15 THEN 'am' WHEN tod BETWEEN 48 AND 55 THEN 'pm' END k, avg(reading) v FROM dense WHERE daytype=0 AND (tod BETWEEN 8 AND 15 OR tod BETWEEN 48 AND 55) GROUP BY 1,2,3) GROUP BY 1),
+r AS (SELECT station_key, avg(v) FILTER (k='pm')/nullif(avg(v) FILTER (k='am'),0) pm_am_ratio FROM (SELECT station_key, day, CASE WHEN tod BETWEEN 8 AND 15 THEN 'am' WHEN tod BETWEEN 48 AND 55 THEN 'pm' END k, avg(reading) v FROM dense WHERE daytype=0 AND (tod BETWEEN 8 AND 15 OR tod BETWEEN 48 AND 55) GROUP BY 1,2,3) GROUP BY 1),
 c AS (SELECT station_key, avg(CASE WHEN mx>=ceiling THEN 1.0 ELSE 0 END) ceiling_share FROM (SELECT station_key, day, max(reading) mx FROM dense WHERE daytype=0 GROUP BY 1,2) JOIN caps USING(station_key) GROUP BY 1)
 SELECT station_key, lpad(CAST(((wt*15+300)%1440)//60 AS VARCHAR),2,'0')||':'||lpad(CAST((wt*15)%60 AS VARCHAR),2,'0') wd_time, wd_peak, median_peak, all_peak, rank() OVER (ORDER BY wd_peak DESC) rank, avg(wd_peak) OVER () mean_of_peaks,
 CASE WHEN abs(wd_peak/avg(wd_peak) OVER ()-1)*100<2 THEN 'about equal' WHEN wd_peak>avg(wd_peak) OVER () THEN 'above' ELSE 'below' END verdict, pm_am_ratio, ceiling_share FROM g JOIN r USING(station_key) JOIN c USING(station_key)""")

@@ -16,7 +16,7 @@ CEIL15 = "CASE WHEN time_bucket(INTERVAL 15 MINUTE,\"end\")=\"end\" THEN \"end\"
 cte("ccells", "spine closures", 'SELECT closure_id, station_key, slot, day, tod, daytype FROM closures c JOIN spine s ON s.slot>=c.start AND s.slot<c."end"')
 cte("reopen", "closures", f"SELECT closure_id, station_key, {CEIL15}+to_minutes(CAST(15*r AS BIGINT)) AS slot, r FROM closures, range(4) t(r)")
 cte("gridc", "dense caps ccells reopen", """SELECT d.*, ceiling, least(reading+0.5::DOUBLE, ceiling) AS xc, CASE WHEN reading<ceiling THEN 1 ELSE 0 END AS unc, hour(slot)>=5 AND hour(slot)<13 AS morning FROM dense d JOIN caps USING(station_key)
-WHERE NOT EXISTS (SELECT 1 FROM ccells c WHERE c.station_key=d.station_key AND c.slot=d.slot) AND NOT EXISTS (SELECT 1 FROM reopen r WHERE r.station_key=d.station_key AND r.slot=d.slot)""")
+WHERE ceiling>0 AND NOT EXISTS (SELECT 1 FROM ccells c WHERE c.station_key=d.station_key AND c.slot=d.slot) AND NOT EXISTS (SELECT 1 FROM reopen r WHERE r.station_key=d.station_key AND r.slot=d.slot)""")
 cte("fw0", "gridc", "SELECT station_key, avg(xc) AS w FROM gridc GROUP BY 1")
 cte("fm0", "gridc", "SELECT DISTINCT slot, 1.0::DOUBLE AS m FROM gridc")
 N_ITERS = 3
@@ -25,7 +25,7 @@ for i in range(1, N_ITERS + 1):
     cte(f"fp{i}", f"fs{i} fm{i-1}", f"SELECT daytype, tod, sum(s/m)/greatest(sum(u),1) AS p FROM fs{i} JOIN fm{i-1} USING(slot) GROUP BY 1,2")
     cte(f"fm{i}", f"fs{i} fp{i}", f"SELECT slot, p, s/p/greatest(u,1) AS m FROM fs{i} JOIN fp{i} USING(daytype,tod)")
     cte(f"fw{i}", f"gridc fm{i}", f"SELECT station_key, sum(xc/(p*m))/greatest(sum(unc),1) AS w FROM gridc JOIN fm{i} USING(slot) WHERE morning GROUP BY 1")
-cte("base", "dense fw1 fp1 caps wxm", "SELECT d.*, ceiling, w*p*multiplier AS base, prcp, tday FROM dense d JOIN fw1 USING(station_key) JOIN fp1 USING(daytype,tod) JOIN caps USING(station_key) JOIN (SELECT slot, multiplier, prcp, tday FROM wxm) x USING(slot)")
+cte("base", "dense fw1 fp1 caps wxm", "SELECT d.*, ceiling, coalesce(w,0)*p*multiplier AS base, prcp, tday FROM dense d LEFT JOIN fw1 USING(station_key) JOIN fp1 USING(daytype,tod) JOIN caps USING(station_key) JOIN (SELECT slot, multiplier, prcp, tday FROM wxm) x USING(slot)")
 cte("ccd", "ccells", "SELECT DISTINCT station_key, slot FROM ccells")
 
 
@@ -176,7 +176,7 @@ def _(n):
 
 
 @register("r4e_capacity_risk", "station_key day:d exp_slots_at_ceiling:f p_any_slot_at_ceiling:f peak_lambda_over_ceiling:f peak_slot:t exp_pax_above_ceiling:f", ctes="risk", sql="""
-SELECT station_key, day, sum(p) exp_slots_at_ceiling, 1-exp(sum(ln(1-p))) p_any_slot_at_ceiling, max(lam/ceiling) peak_lambda_over_ceiling, first(slot ORDER BY lam DESC, slot) peak_slot, sum("over") exp_pax_above_ceiling FROM risk GROUP BY 1,2""")
+SELECT station_key, day, sum(p) exp_slots_at_ceiling, 1-exp(sum(ln(1-p))) p_any_slot_at_ceiling, max(lam/nullif(ceiling,0)) peak_lambda_over_ceiling, first(slot ORDER BY lam DESC, slot) peak_slot, sum("over") exp_pax_above_ceiling FROM risk GROUP BY 1,2""")
 def _(n):
     return ex.capacity_risk(risk(n), ("station_key", "day"))
 

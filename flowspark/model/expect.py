@@ -115,7 +115,7 @@ def forecast(risk: DataFrame) -> DataFrame:
 
 def capacity_risk(risk: DataFrame, by=("station_key",), sort_by: str | None = None, top: int | None = None) -> DataFrame:
     """Expected slots at the ceiling, chance of any, peak load ratio and demand above the ceiling."""
-    ratio = F.col("lam") / F.col("ceiling")
+    ratio = F.try_divide("lam", "ceiling")
     g = risk.groupBy(*by).agg(
         F.sum("p").alias("exp_slots_at_ceiling"), any_of(F.col("p")).alias("p_any_slot_at_ceiling"), F.max(ratio).alias("peak_lambda_over_ceiling"),
         F.max_by("slot", F.struct(F.col("lam"), -t.slot_no("slot"))).alias("peak_slot"), F.sum("over").alias("exp_pax_above_ceiling"), F.first("ceiling").alias("ceiling"),

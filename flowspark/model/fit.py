@@ -42,7 +42,8 @@ class Fit:
 def fit_grid(cells: DataFrame, closures: DataFrame, params: ModelParams = DEFAULT_PARAMS, clock: Clock = DEFAULT_CLOCK, event_cells: DataFrame | None = None) -> DataFrame:
     """Cells with the columns the updates need: xc (half-open reading), use, unc, morning."""
     g = closed_cells(cells, closures, clock, params.rebound_mask_slots).join(ceilings(cells), "station_key")
-    use = ~F.col("closed") & ~F.col("after")
+    # A station that never counted anything has no level to fit; its weight is zero.
+    use = ~F.col("closed") & ~F.col("after") & (F.col("ceiling") > 0)
     if event_cells is not None:
         g = g.join(event_cells.select("station_key", "slot", F.lit(True).alias("_ev")), ["station_key", "slot"], "left")
         use = use & F.col("_ev").isNull()
@@ -268,10 +269,15 @@ def merge_shares(rule: DataFrame, learned: DataFrame | None) -> DataFrame:
 # -- whole fit --------------------------------------------------------------------------------
 
 
+def station_table(cells: DataFrame, w: DataFrame) -> DataFrame:
+    """Weight and ceiling of every station."""
+    return ceilings(cells).join(w, "station_key", "left").na.fill(0.0, ["w"]).select("station_key", "w", "ceiling")
+
+
 def fit_given_weather(cells, closures, venues, stations, weather_params: dict, iters=1, params=DEFAULT_PARAMS, clock=DEFAULT_CLOCK) -> Fit:
     """One round of updates with a known weather rule and the distance-rule shares."""
     w, p, m = fit_core(fit_grid(cells, closures, params, clock), iters)
-    st = w.join(ceilings(cells), "station_key")
+    st = station_table(cells, w)
     return Fit(broadcast_if_small(cut(st)), F.broadcast(p), m, weather_params, cut(rule_shares(venues, stations, params)))
 
 
@@ -287,7 +293,7 @@ def fit(cells, closures, weather, events, venues, stations, iters=25, rounds=2,
         scale = float(np.exp(wx["a0"]))
         p = p.withColumn("p", F.col("p") * scale)
         m = m.withColumn("m", F.col("m") / scale)
-        out = Fit(broadcast_if_small(cut(w.join(ceilings(cells), "station_key"))), F.broadcast(cut(p)), m, wx, rule)
+        out = Fit(broadcast_if_small(cut(station_table(cells, w))), F.broadcast(cut(p)), m, wx, rule)
         normal = expected(out, cells, weather, None, closures, params, clock)
         learned = learn_shares(normal, events, venues, stations, rule, params, clock)
         out = replace(out, shares=cut(merge_shares(rule, learned)), learned=learned)

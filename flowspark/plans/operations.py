@@ -179,7 +179,7 @@ def reinforcement_plan(values: DataFrame, stations: DataFrame, weather: DataFram
     key = ["day", "rank", "station_key", "tod_from", "tod_to", "score"]
     first_hour = F.hour(F.min("slot"))
     base = cells.groupBy(*key).agg(
-        F.sum("over").alias("ov"), F.sum("over_ref").alias("oref"), first_hour.alias("h0"), F.first("ceiling").alias("cap"), F.max(F.col("lam") / F.col("ceiling")).alias("peak_ratio"), F.count(F.lit(1)).alias("slots")
+        F.sum("over").alias("ov"), F.sum("over_ref").alias("oref"), first_hour.alias("h0"), F.first("ceiling").alias("cap"), F.max(F.try_divide("lam", "ceiling")).alias("peak_ratio"), F.count(F.lit(1)).alias("slots")
     )
     base = base.withColumn("hours", F.col("slots") / 4).withColumn("f0", a.trains_at(F.col("h0")))
     base = base.withColumn("fmax", F.greatest(F.lit(a.max_trains), F.col("f0"))).withColumn("target", F.col("oref") + (1 - a.target_reduction) * (F.col("ov") - F.col("oref")))

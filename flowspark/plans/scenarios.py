@@ -99,7 +99,7 @@ def diversion(fit: Fit, events: DataFrame, venues: DataFrame, stations: DataFram
     b = b.withColumn("share_pct", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(5))))
     x = F.col("share_pct") / 100
     lam = F.col("base") + F.col("load") * ((1 - x) * F.col("share") + x * F.col("away"))
-    return b.withColumn("lam", lam).groupBy("show_id", "station_key", "is_alternative", "share_pct").agg(F.round(F.max(F.col("lam") / F.col("ceiling")), 2).alias("peak_ratio"))
+    return b.withColumn("lam", lam).groupBy("show_id", "station_key", "is_alternative", "share_pct").agg(F.round(F.max(F.try_divide("lam", "ceiling")), 2).alias("peak_ratio"))
 
 
 def capacity_limited_share(table: DataFrame) -> DataFrame:
