@@ -294,7 +294,7 @@ def _(n):
 
 @register("a17_ratio_interval", "station_key lo:f hi:f")
 def _(n):
-    """Bootstrap over days with a seeded draw; the tests check coverage and order."""
+    """Bootstrap over days with a seeded draw; no brute-force test yet."""
     return pk.ratio_interval(n.dense, 1000)
 
 
@@ -408,7 +408,7 @@ def reinforcement(n, a=LOW, top=6):
 
 @register("r7_reinforcement_plan", "day:d rank:i station_key df:i trains_absorb:f rail_absorb:f ground1:f ground2:f bike_absorb:f taxi_absorb:f meter_per_hour:f extra_total:f2 residual_total:f2")
 def _(n):
-    """Mode by mode absorption; the tests check it against a plain sequential plan."""
+    """Mode by mode absorption; no brute-force test yet."""
     return reinforcement(n)
 
 
@@ -458,7 +458,7 @@ def _(n):
 
 @register("r4i_diversion", "show_id:i station_key is_alternative:b share_pct:i peak_ratio:f2")
 def _(n):
-    """Peak demand over ceiling for diverted shares 0 to 60 percent; closed form checked in the tests."""
+    """Peak demand over ceiling for diverted shares 0 to 60 percent; no brute-force test yet."""
     return sc.diversion(quick_fit(n), n.crowd_events, n.venues, n.stations, n.weather, 2.6, n.params, n.clock)
 
 

@@ -190,7 +190,7 @@ def _(n):
 
 @register("n5d_diverse_routes", "od_id rank:i cost:f changes:i stops:i")
 def _(n):
-    """Repeated searches with growing bans: rows only; the tests compare with a sequential search."""
+    """Repeated searches with growing bans: rows only; the tests compare the first route with a sequential search."""
     return g.diverse_routes(od(n), timed_edges(n), 3)
 
 
