@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import chat
+from flowspark.llm import chat, sharding, warc
 from flowspark.llm.common import held_out, table, text_or_empty
 
 SQL: dict[str, str] = {}
@@ -38,7 +38,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_chat_formatting,)}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three replicas of the pages as archived records; replica 1 has damaged payloads, replica 2 has lost records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    good = warc.record(F.col("url"), F.col("html"), F.col("page_id"))
+    bad = warc.record(F.col("url"), F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 1)), F.col("page_id"))
+    digest, damaged = F.sha2(good, 256), F.coalesce(F.col("page_id") % 97 == 5, F.lit(False))
+    copies = F.array(
+        F.struct(F.lit(0).alias("replica"), F.col("digest").alias("digest")),
+        F.struct(F.lit(1).alias("replica"), F.when(F.col("damaged"), F.col("bad")).otherwise(F.col("digest")).alias("digest")),
+        F.struct(F.lit(2).alias("replica"), F.when(F.coalesce(F.col("page_id") % 89 == 7, F.lit(False)), F.lit(None)).otherwise(F.col("digest")).alias("digest")),
+    )
+    listed = pages.select(
+        "page_id", warc.file_of(F.col("page_id"), F.col("url")).alias("file"), F.length(good).cast("long").alias("length"), digest.alias("digest"),
+        damaged.alias("damaged"), F.when(damaged, F.sha2(bad, 256)).alias("bad"),
+    )
+    listed = warc.cut(warc.place_records(listed))
+    leaves = listed.select("file", "offset", "length", F.explode(copies).alias("c")).select("file", "offset", "length", "c.*").where("digest is not null")
+    found = warc.audit(leaves)
+    return found.join(listed.select("file", "offset", "page_id", "length").distinct(), ["file", "offset"]).select("page_id", "file", "offset", "length", "replica", "kind")
+
+
+SQL["op6_warc_fixity"] = r"""
+WITH r AS (
+  SELECT page_id, 'part-' || CAST(page_id // 256 AS VARCHAR) AS file,
+    CAST(strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(html) || chr(13) || chr(10)) + 2 + strlen(html) + 4 AS BIGINT) AS length
+  FROM pages),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT page_id, file, "offset", length, 1 AS replica, 'altered' AS kind FROM o WHERE page_id % 97 = 5 AND page_id % 89 <> 7
+UNION ALL SELECT page_id, file, "offset", length, 2, 'missing' FROM o WHERE page_id % 89 = 7 AND page_id % 97 <> 5
+UNION ALL SELECT page_id, file, "offset", length, unnest([0, 1, 2]), 'unsettled' FROM o WHERE page_id % 89 = 7 AND page_id % 97 = 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op6_warc_fixity, op10_chat_formatting)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
