@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import chat, sharding, warc
-from flowspark.llm.common import held_out, table, text_or_empty
+from flowspark.llm import chat, decontaminate, langid, pieces, quality, sharding, warc
+from flowspark.llm.common import held_out, table
 
 SQL: dict[str, str] = {}
 
+#: The piece model's file; another installation sets it before it builds the queries.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) with a contaminated passage."""
+    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.contaminated(docs, bench)
+
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,6 +52,27 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, told by count and hash, and whether they decode to the text."""
+    model = pieces.load(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.decode(pieces.encode(docs, model), model)
+    text = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == text).alias("round_trip"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.detect(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three replicas of the pages as archived records; replica 1 has damaged payloads, replica 2 has lost records."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -77,7 +107,7 @@ UNION ALL SELECT page_id, file, "offset", length, 2, 'missing' FROM o WHERE page
 UNION ALL SELECT page_id, file, "offset", length, unnest([0, 1, 2]), 'unsettled' FROM o WHERE page_id % 89 = 7 AND page_id % 97 = 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op6_warc_fixity, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op10_chat_formatting)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
