@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.lineage import cut
 
-__all__ = ["cut", "table", "held_out", "text_or_empty", "min_labels"]
+__all__ = ["cut", "written", "table", "held_out", "text_or_empty", "min_labels"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a local session without that setting (tests) gets one of its own.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="flowspark-tables-")
+    path = f"{folder}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept out of every fit: crc32 of the id as text leaves remainder 2 modulo 4; a missing id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

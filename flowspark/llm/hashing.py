@@ -47,20 +47,17 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(acc + np.uint64(width))
 
 
-BITS = 1 << 20
-
-
-def bitmap(df: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of 2^20 places with the low bits of the 64-bit values of ``col``: at most that many integers reach the driver.
+def bitmap(df: DataFrame, col: str, bits: int = 20) -> np.ndarray:
+    """A bitmap of 2^bits places with the low bits of the 64-bit values of ``col``: at most that many integers reach the driver.
 
     It only thins out rows before an exact join. However many values there are, its size stays the same; a full one thins out nothing.
     """
-    places = df.select(F.col(col).bitwiseAND(BITS - 1).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy()
-    bits = np.zeros(BITS, dtype=bool)
-    bits[places] = True
-    return np.packbits(bits)
+    places = df.select(F.col(col).bitwiseAND((1 << bits) - 1).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy()
+    held = np.zeros(1 << bits, dtype=bool)
+    held[places] = True
+    return np.packbits(held)
 
 
 def in_bitmap(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = (values & np.uint64(BITS - 1)).astype(np.int64)
+    place = (values & np.uint64(8 * len(packed) - 1)).astype(np.int64)
     return (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1

@@ -151,12 +151,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     return Filter(languages, slots, hashes, fill**hashes)
 
 
-def detect(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``. The filter's fixed size bounds what is broadcast."""
+def detect(docs: DataFrame, model: Filter, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score under the names ``out``. The filter's fixed size bounds what is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.decide(t) for t in text], columns=["lang_pred", "lang_score"])
+        return pd.DataFrame([shared.value.decide(t) for t in text], columns=["p", "s"])
 
-    udf = F.pandas_udf(decide, StructType([StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
-    return docs.withColumn("_language", udf(F.col(text_col))).withColumns({"lang_pred": F.col("_language.lang_pred"), "lang_score": F.col("_language.lang_score")}).drop("_language")
+    udf = F.pandas_udf(decide, StructType([StructField("p", StringType()), StructField("s", DoubleType())]))
+    return docs.withColumn("_language", udf(F.col(text_col))).withColumns({out[0]: F.col("_language.p"), out[1]: F.col("_language.s")}).drop("_language")

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", trees: i
     return Model(float(lasso.intercept), [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w != 0.0])
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``quality_score`` and ``quality_predicted`` (1 from the threshold on)."""
-    scored = docs.withColumn("_stats", statistics(F.col("text"))).withColumn("quality_score", model.score(F.col("_stats"))).drop("_stats")
-    return scored.withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+def classify(docs: DataFrame, model: Model, threshold: float = 0.7, out: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
+    """``docs`` with the score and the predicted label (1 from the threshold on) under the names ``out``."""
+    scored = docs.withColumn("_stats", statistics(F.col("text"))).withColumn(out[0], model.score(F.col("_stats"))).drop("_stats")
+    return scored.withColumn(out[1], (F.col(out[0]) >= threshold).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import chat, decontaminate, langid, pieces, quality, sharding, warc
+from flowspark.llm import chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, syncmers, warc
 from flowspark.llm.common import held_out, table
 
 SQL: dict[str, str] = {}
@@ -107,7 +107,28 @@ UNION ALL SELECT page_id, file, "offset", length, 2, 'missing' FROM o WHERE page
 UNION ALL SELECT page_id, file, "offset", length, unnest([0, 1, 2]), 'unsettled' FROM o WHERE page_id % 89 = 7 AND page_id % 97 = 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op10_chat_formatting)}
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = dom.extract(pages, dom.fit(pages))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
