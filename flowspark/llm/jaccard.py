@@ -5,12 +5,12 @@ group the union of its members' tokens. For a query set, its overlap with a grou
 member, so only groups whose bound reaches the threshold are opened and compared set by set. The classes are the connected
 components of all links.
 
-Steps. (1) Equal sets become one. (2) Three rounds bring sets with an equal min-hash together, in chunks, and link what is
+Steps. (1) Equal sets become one. (2) Three rounds bring sets with an equal pair of min-hashes together, in chunks, and link what is
 similar in a chunk; the chunk's members then stand for their smallest member. This only forms the groups: a family of any
 size shrinks to few groups, and nothing later depends on what a round misses. (3) Search: a pair of similar sets shares
 one of its first tokens (prefix filter: n - ceil(t n) + 1 tokens in an order that puts frequent tokens last). Tokens whose
-documents all stand for one group are done with; those of the others name the (query, group) pairs, which the
-bound and then the comparison settle. (4) Components of the links between groups.
+documents all stand for one group are done with; those of the others name the (query, group) pairs, which
+signatures of fixed size, the bound and then the comparison settle. (4) Components of the links between groups.
 
 Tokens and sets are told apart by 64-bit hashes. Tables stand in the checkpoint folder; bitmaps of fixed size thin out rows
 before exact joins. No pair within a family is listed unless its groups are still apart.
@@ -31,21 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import cut, min_labels
-from flowspark.llm.hashing import WordHashes, bitmap, in_bitmap, mix, rolling
+from flowspark.llm.hashing import Powers, bitmap, in_bitmap, rolling, word_hashes
 
-SKETCH_BITS = 16
+SKETCH_BITS = 18
 ROUNDS = 3
 CHUNK = 64
 QUERY_BLOCK = 256
-_SEEDS = [np.uint64(0x51ED270B7F4A7C15 * (j + 1) % 2**64) for j in range(ROUNDS)]
+_SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+SIGNATURE = 16  # 64-bit words
 
 
-def shingles(text: str | None, n: int, words: WordHashes) -> np.ndarray:
+def shingles(text: str | None, n: int, powers: Powers) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of the words between ASCII white space, A-Z in lower case."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not raw:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(rolling(words.of(raw), min(n, len(raw))))
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower(), powers)
+    if not len(words):
+        return words
+    t = np.sort(rolling(words, min(n, len(words))))
+    return t[np.concatenate([[True], t[1:] != t[:-1]])]
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -62,24 +64,38 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each place that an odd number of tokens falls on: two sets differ in at least as many tokens as their signatures in bits."""
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _summaries(n: int):
-    """mapInPandas function: one row per document, and per task the counts of its tokens in a fixed number of places."""
+    """mapInPandas function: one row per document, and per task the counts of its tokens in a fixed number of places.
+
+    Min-hashes go in pairs: sets that are similar share one of the three pairs mostly, sets with one passage in common hardly ever."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        powers, counts = Powers(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        names = ["doc_id", "n", "k", *[f"m{j}" for j in range(ROUNDS)], "sig", "counts"]
         for b in batches:
-            rows = []
+            rows, all_tokens = [], []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                t = shingles(text, n, words)
-                if len(t):
-                    counts += np.bincount((t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                    with np.errstate(over="ignore"):
-                        mins = [int(mix(t ^ s).min().view(np.int64)) for s in _SEEDS]
-                    rows.append((doc_id, len(t), set_key(t), *mins, None))
-                else:
-                    rows.append((doc_id, 0, 0, *[0] * ROUNDS, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k", *[f"m{j}" for j in range(ROUNDS)], "counts"]).astype({"doc_id": "Int64"})
-        yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n": -1, "k": 0, **{f"m{j}": 0 for j in range(ROUNDS)}, "counts": [counts.tolist()]})
+                t = shingles(text, n, powers)
+                if not len(t):
+                    rows.append((doc_id, 0, 0, *[0] * ROUNDS, None, None))
+                    continue
+                all_tokens.append((t >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                mins = np.array([(t * s).min() for s in _SEEDS])
+                pairs = (mins * _SEEDS[0] ^ np.roll(mins, 1)).view(np.int64).tolist()
+                rows.append((doc_id, len(t), set_key(t), *pairs, signature(t), None))
+                if len(all_tokens) >= 500:
+                    counts += np.bincount(np.concatenate(all_tokens), minlength=1 << SKETCH_BITS)
+                    all_tokens.clear()
+            if all_tokens:
+                counts += np.bincount(np.concatenate(all_tokens), minlength=1 << SKETCH_BITS)
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame([(None, -1, 0, *[0] * ROUNDS, None, counts)], columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -103,11 +119,11 @@ def _prefix_rows(n: int, percent: int, classes: np.ndarray, only: np.ndarray | N
     """mapInPandas function: (token, k, n) for the prefix tokens of each distinct set of the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = WordHashes(), set()
+        powers, seen = Powers(), set()
         for b in batches:
             parts, keys, sizes = [], [], []
             for text in b["text"]:
-                t = shingles(text, n, words)
+                t = shingles(text, n, powers)
                 if not len(t) or (k := set_key(t)) in seen:
                     continue
                 seen.add(k)
@@ -128,11 +144,11 @@ def _sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     only = bitmap(keys, "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = WordHashes(), set()
+        powers, seen = Powers(), set()
         for b in batches:
             ks, ts = [], []
             for text in b["text"]:
-                t = shingles(text, n, words)
+                t = shingles(text, n, powers)
                 if not len(t) or (k := set_key(t)) in seen or not in_bitmap(only, np.array([k], dtype=np.int64).view(np.uint64))[0]:
                     continue
                 seen.add(k)
@@ -195,13 +211,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id), one row per input row; sets link when 100 * common >= percent * all tokens of both."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     mins = ", ".join(f"m{j} long" for j in range(ROUNDS))
-    seen = cut(docs.mapInPandas(_summaries(n), f"doc_id long, n long, k long, {mins}, counts array<long>"))
+    seen = cut(docs.mapInPandas(_summaries(n), f"doc_id long, n long, k long, {mins}, sig array<long>, counts array<long>"))
     rows = seen.where("n >= 0").select("doc_id", "n", "k")
-    places = seen.where("n < 0").select(F.posexplode("counts").alias("place", "c")).where("c > 0").groupBy("place").agg(F.sum("c").alias("c")).toPandas()
+    places = seen.where("n < 0").select(F.posexplode("counts").alias("place", "c")).where("c > 0").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     counts[places["place"].to_numpy()] = places["c"].to_numpy()
     classes = frequency_classes(counts)
-    nodes = cut(seen.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("low"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(ROUNDS)]))
+    nodes = cut(seen.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(ROUNDS)]))
 
     # groups of similar sets: chunks of equal min-hash, three times over what still stands for itself
     needed = None
@@ -231,7 +247,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     hits = cut(hits.join(across, "token", "left_semi").distinct())
     matrix = hits.groupBy("token", "gid", F.col("leader").alias("g_leader")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     near = hits.withColumnRenamed("gid", "own").join(matrix, "token").where((F.col("leader") < F.col("g_leader")) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent))
-    pairs = cut(near.select("gid", "k").distinct())
+    # signatures rule most pairs out before any set is read: similar sets differ in few tokens
+    who = groups.join(nodes.select("k", "n", "sig"), "k").select("gid", F.col("k").alias("member"), F.col("n").alias("m_n"), F.col("sig").alias("m_sig"))
+    facing = near.select("gid", "k").distinct().join(nodes.select("k", "n", "sig"), "k").join(who, "gid")
+    apart = F.aggregate(F.zip_with("sig", "m_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    pairs = cut(facing.where((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m_n"))).select("gid", "k").distinct())
     blocks = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = pairs.join(blocks, "gid").select("gid", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"), "k", F.lit(True).alias("is_query"))
     held = groups.join(blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "k", F.lit(False).alias("is_query"))

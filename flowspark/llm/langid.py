@@ -144,9 +144,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     words = -(-len(languages) // 64)
     bits = own.mapInPandas(_slot_rows(hashes, size), "slot int, lang int").groupBy("slot").agg(*[
         F.bit_or(F.when(F.floor(F.col("lang") / 64) == w, F.expr(f"shiftleft(1L, lang - {64 * w})")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)
-    ]).toPandas()
+    ]).toArrow()
     slots = np.zeros((size, words), dtype=np.uint64)
-    slots[bits["slot"].to_numpy()] = bits[[f"w{w}" for w in range(words)]].to_numpy(dtype=np.int64).view(np.uint64)
+    for w in range(words):
+        slots[bits["slot"].to_numpy(), w] = bits[f"w{w}"].to_numpy().view(np.uint64)
     fill = np.array([np.count_nonzero(slots[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) / size for k in range(len(languages))])
     return Filter(languages, slots, hashes, fill**hashes)
 
