@@ -47,10 +47,8 @@ class Canon(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.hashes: list[int] = []
-        self.types: list[int] = []
         self.values: list[str] = []
-        self.ends: list[bool] = []
+        self.hashes, self.types, self.ends = np.zeros(4096, dtype=np.uint64), np.zeros(4096, dtype=np.int8), np.zeros(4096, dtype=bool)
 
     def __missing__(self, word: str) -> int:
         bare = _EDGE.sub("", word)
@@ -66,11 +64,13 @@ class Canon(dict):
             kind = NAME
         elif low in UNITS:
             kind = UNIT
-        self[word] = at = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(low) if bare else 0)
-        self.types.append(kind if bare else -1)
+        self[word] = at = len(self.values)
+        if at == len(self.hashes):
+            self.hashes, self.types, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.types, self.ends))
+        self.hashes[at] = xxhash.xxh3_64_intdigest(low) if bare else 0
+        self.types[at] = kind if bare else -1
+        self.ends[at] = word.rstrip("\"')]»”")[-1:] in {".", "!", "?", ":", ";"}
         self.values.append(said)
-        self.ends.append(word.rstrip("\"')]»”")[-1:] in ".!?:;")
         return at
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -79,17 +79,13 @@ class Canon(dict):
             self.forget()
         words = text.split()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self._h) != len(self.hashes):
-            self._h, self._t, self._e = np.array(self.hashes, dtype=np.uint64), np.array(self.types, dtype=np.int8), np.array(self.ends, dtype=bool)
-        kind, ends = self._t[at], self._e[at]
+        kind, ends = self.types[at], self.ends[at]
         begins = np.concatenate([[True], ends[:-1]]) if len(at) else ends
         after_number = np.concatenate([[False], kind[:-1] == NUM]) if len(at) else ends
         kind = np.where(((kind == NAME) & begins) | ((kind == UNIT) & ~after_number), WORD, kind)
         keep = kind >= 0  # bare punctuation is no token
         at, kind = at[keep], kind[keep]
-        return np.where(kind == WORD, self._h[at], kind.astype(np.uint64) + np.uint64(1)), kind, at
-
-    _h = _t = _e = np.empty(0)
+        return np.where(kind == WORD, self.hashes[at], kind.astype(np.uint64) + np.uint64(1)), kind, at
 
 
 def template_windows(width: int, min_literals: int, short: tuple[int, ...] = (), only: np.ndarray | None = None, id_col: str = "id"):

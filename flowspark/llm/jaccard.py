@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import cut, min_labels
@@ -38,7 +38,7 @@ ROUNDS = 3
 CHUNK = 64
 QUERY_BLOCK = 256
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-SIGNATURE = 16  # 64-bit words
+SIGNATURE = 1 << 10, 1 << 16  # bits, least and most
 
 
 def shingles(text: str | None, n: int, powers: Powers) -> np.ndarray:
@@ -65,11 +65,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each place that an odd number of tokens falls on: two sets differ in at least as many tokens as their signatures in bits."""
-    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    """A bit for each place that an odd number of tokens falls on: two sets differ in at least as many tokens as their signatures in bits.
+
+    There are about two places for each token, a power of two; a longer signature folds onto a shorter one."""
+    bits = min(max(1 << int(2 * len(tokens) - 1).bit_length(), SIGNATURE[0]), SIGNATURE[1])
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two signatures differ; one may be twice as long. Null when they are further apart, as only sets of unlike size are."""
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
+    a, b = F.when(F.size(a) == 2 * F.size(b), fold(a)).otherwise(a), F.when(F.size(b) == 2 * F.size(a), fold(b)).otherwise(b)
+    bits = F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), bits)
+
+
 def _summaries(n: int):
     """mapInPandas function: one row per document, and per task the counts of its tokens in a fixed number of places.
 
@@ -209,6 +221,8 @@ def _search_group(percent: int):
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row; sets link when 100 * common >= percent * all tokens of both."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     mins = ", ".join(f"m{j} long" for j in range(ROUNDS))
     seen = cut(docs.mapInPandas(_summaries(n), f"doc_id long, n long, k long, {mins}, sig array<long>, counts array<long>"))
@@ -250,8 +264,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # signatures rule most pairs out before any set is read: similar sets differ in few tokens
     who = groups.join(nodes.select("k", "n", "sig"), "k").select("gid", F.col("k").alias("member"), F.col("n").alias("m_n"), F.col("sig").alias("m_sig"))
     facing = near.select("gid", "k").distinct().join(nodes.select("k", "n", "sig"), "k").join(who, "gid")
-    apart = F.aggregate(F.zip_with("sig", "m_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    pairs = cut(facing.where((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m_n"))).select("gid", "k").distinct())
+    pairs = cut(facing.where((100 + percent) * _differ(F.col("sig"), F.col("m_sig")) <= (100 - percent) * (F.col("n") + F.col("m_n"))).select("gid", "k").distinct())
     blocks = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     asked = pairs.join(blocks, "gid").select("gid", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"), "k", F.lit(True).alias("is_query"))
     held = groups.join(blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "k", F.lit(False).alias("is_query"))
