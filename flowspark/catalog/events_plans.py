@@ -360,10 +360,10 @@ def _(n):
     return op.staff_roster(op.staff_picks(v, 10, 2.0), v)
 
 
-cte("watch", "risk", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, station_key DESC, tod_from DESC) AS rank FROM (
+cte("watch", "risk", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 6) DESC, station_key DESC, tod_from DESC) AS rank FROM (
 SELECT * FROM (SELECT f.station_key, f.day, tod_from, tod_to, sum(r."over")+0.2::DOUBLE*sum(r.event_load) AS score, max(r.p) AS p_max, first(r.tod ORDER BY r.event_load DESC, r.tod) AS tod_event_peak FROM (
 SELECT station_key, day, g, min(tod) tod_from, max(tod) tod_to FROM (SELECT *, sum(nw) OVER (PARTITION BY station_key, day ORDER BY tod) g FROM (SELECT *, CASE WHEN tod-lag(tod) OVER (PARTITION BY station_key, day ORDER BY tod)<=2 THEN 0 ELSE 1 END nw FROM risk WHERE p>=0.15 OR event_load>=greatest(30,0.3*lam0))) GROUP BY 1,2,3) f
-JOIN risk r ON r.station_key=f.station_key AND r.day=f.day AND r.tod BETWEEN tod_from AND tod_to GROUP BY 1,2,3,4) QUALIFY row_number() OVER (PARTITION BY day, station_key ORDER BY score DESC, tod_from DESC)<=2)) WHERE rank<=8""")
+JOIN risk r ON r.station_key=f.station_key AND r.day=f.day AND r.tod BETWEEN tod_from AND tod_to GROUP BY 1,2,3,4) QUALIFY row_number() OVER (PARTITION BY day, station_key ORDER BY round(score, 6) DESC, tod_from DESC)<=2)) WHERE rank<=8""")
 
 
 @register("r6_watch_windows", "day:d rank:i station_key tod_from:i tod_to:i score:f2 p_max:f", ctes="watch", sql="SELECT * FROM watch")
@@ -396,7 +396,7 @@ LOW = op.ModeAssumptions(min_extra_slot=2.0, min_extra_window=5.0)
 
 
 @register("r7_overload_windows", "day:d rank:i station_key tod_from:i tod_to:i score:f2", ctes="valuesd", sql="""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, station_key DESC, tod_from DESC) rank FROM (SELECT f.station_key, f.day, tod_from, tod_to, sum(r.extra) score FROM (SELECT station_key, day, g, min(tod) tod_from, max(tod) tod_to FROM (SELECT *, sum(nw) OVER (PARTITION BY station_key, day ORDER BY tod) g FROM (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 6) DESC, station_key DESC, tod_from DESC) rank FROM (SELECT f.station_key, f.day, tod_from, tod_to, sum(r.extra) score FROM (SELECT station_key, day, g, min(tod) tod_from, max(tod) tod_to FROM (SELECT *, sum(nw) OVER (PARTITION BY station_key, day ORDER BY tod) g FROM (
 SELECT *, CASE WHEN tod-lag(tod) OVER (PARTITION BY station_key, day ORDER BY tod)<=2 THEN 0 ELSE 1 END nw FROM valuesd WHERE extra>=2)) GROUP BY 1,2,3) f JOIN valuesd r ON r.station_key=f.station_key AND r.day=f.day AND r.tod BETWEEN tod_from AND tod_to GROUP BY 1,2,3,4) WHERE score>=5) WHERE rank<=6""")
 def _(n):
     return op.overload_windows(staff_values(n, None), LOW, 6)

@@ -376,14 +376,16 @@ def closed_line_edges(edges: DataFrame, stations: DataFrame, line: str) -> DataF
 
 
 def diverse_routes(od: DataFrame, edges: DataFrame, n_routes: int = 3, penalty: float = 180.0) -> DataFrame:
-    """Up to five routes per request; each bans the intermediate stops of the main legs before it.
+    """Up to ``n_routes`` (1 to 5) routes per request; each bans the intermediate stops of the main legs before it.
 
     The main leg is the one with the highest ride cost. A main leg without intermediate stops bans
     its line instead. A request ends when no route is left.
     """
+    if not 1 <= n_routes <= 5:
+        raise ValueError("n_routes must be 1 to 5")
     ban_s = ban_l = out = None
     live = od
-    for rank in range(1, max(1, min(n_routes, 5)) + 1):
+    for rank in range(1, n_routes + 1):
         bans = {}
         if ban_s is not None:
             bans["banned_stops"], bans["banned_lines"] = ban_s, ban_l

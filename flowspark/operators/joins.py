@@ -90,8 +90,11 @@ def within_km(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat:
 
     Equi-join on grid cells: the right side is copied into its 3 x 3 neighbourhood and the exact
     distance filters the candidates. ``max_abs_lat`` bounds the latitudes, so that cells are wide
-    enough in longitude everywhere.
+    enough in longitude everywhere; a row beyond it ends the query instead of losing pairs.
     """
+    beyond = F.raise_error(F.lit(f"latitude beyond {max_abs_lat}: give within_km a larger max_abs_lat"))
+    held = lambda df: df.withColumn("lat", F.when(F.abs("lat") <= max_abs_lat, F.col("lat")).when(F.col("lat").isNotNull(), beyond))
+    left, right = held(left), held(right)
     scale = math.cos(math.radians(max_abs_lat))
     lft = left.withColumn("_cy", cell("lat", radius_km)).withColumn("_cx", cell("lon", radius_km, scale))
     off = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])

@@ -102,8 +102,9 @@ def flagged_windows(cells: DataFrame, gap: int = 2) -> DataFrame:
 
 def top_per_station(windows: DataFrame, per_station: int = 2, top: int = 8) -> DataFrame:
     """Best windows of each day, at most ``per_station`` of one station."""
-    w1 = Window.partitionBy("day", "station_key").orderBy(F.col("score").desc(), F.col("tod_from").desc())
-    w2 = Window.partitionBy("day").orderBy(F.col("score").desc(), F.col("station_key").desc(), F.col("tod_from").desc())
+    score = F.round("score", 6)  # sums in another order differ in the last bits
+    w1 = Window.partitionBy("day", "station_key").orderBy(score.desc(), F.col("tod_from").desc())
+    w2 = Window.partitionBy("day").orderBy(score.desc(), F.col("station_key").desc(), F.col("tod_from").desc())
     x = windows.withColumn("r1", F.row_number().over(w1)).filter(F.col("r1") <= per_station)
     return x.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= top).drop("r1")
 

@@ -61,7 +61,7 @@ def staff_picks(values: DataFrame, staff: int = 10, block_hours: float = 2.0) ->
     v = values.filter("value > 0").select("day", "station_key").distinct()
     cells = values.select("day", "station_key", "tod", "value").join(v, ["day", "station_key"], "left_semi")
     own = cells.groupBy("day", "station_key").applyInPandas(picks, "day date, station_key string, pick int, tod_from int, block_value double")
-    w = Window.partitionBy("day").orderBy(F.col("block_value").desc(), "tod_from", "station_key", "pick")
+    w = Window.partitionBy("day").orderBy(F.round("block_value", 6).desc(), "tod_from", "station_key", "pick")
     return own.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= staff).withColumn("tod_to", F.col("tod_from") + width)
 
 
@@ -162,7 +162,7 @@ def overload_windows(values: DataFrame, a: ModeAssumptions, top: int | None = 6)
     x = g.withColumn("tod", F.explode(F.sequence("tod_from", "tod_to"))).join(values.select("station_key", "day", "tod", "extra"), ["station_key", "day", "tod"])
     s = x.groupBy("station_key", "day", "tod_from", "tod_to").agg(F.sum("extra").alias("score"), F.max_by("tod", F.struct("extra", -F.col("tod"))).alias("tod_event_peak"))
     s = s.filter(F.col("score") >= a.min_extra_window)
-    w = Window.partitionBy("day").orderBy(F.col("score").desc(), F.col("station_key").desc(), F.col("tod_from").desc())
+    w = Window.partitionBy("day").orderBy(F.round("score", 6).desc(), F.col("station_key").desc(), F.col("tod_from").desc())
     s = s.withColumn("rank", F.row_number().over(w))
     return s.filter(F.col("rank") <= top) if top else s
 
