@@ -12,7 +12,8 @@ restricted to two neighbours runs as it does inside the whole); the state is pos
 neighbours, minus infinity otherwise. The result equals the library's encoding for either kind.
 
 A place that no piece spans (before a space mark that follows something else; around line feeds and digits where the
-vocabulary has them alone) is crossed in one state only: there the matrices have rank one, and words between such places are kept in a table.
+vocabulary has them alone) is crossed in one state only: there the matrices have rank one, and words between such places
+are kept in a table; the one BPE path of a short word is found by merging, which is its definition.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the space mark U+2581 in a text is read as a
 space; characters outside the vocabulary become bytes (or the unknown id); repeated rows each get their ids; an empty
@@ -59,6 +60,8 @@ class Pieces:
         self.scores = {p.piece: p.score for p in proto.pieces if p.type in (1, 4, 5)}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unk, self.unk_surface = self.types.index(2), proto.trainer_spec.unk_surface
+        shown = {2: lambda p: self.unk_surface, 3: lambda p: "", 6: lambda p: chr(b) if (b := int(p[3:5], 16)) < 128 else None}
+        self.surface = [shown[t](p) if t in shown else p.replace(SPACE, " ") for p, t in zip(self.texts, self.types)]
         self.unk_score = min(self.scores.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         longer = "".join(p for p in self.ids if len(p) > 1)
@@ -68,24 +71,26 @@ class Pieces:
         self.words = re.compile(f"{lone}{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if self.spaces_lead else r"[\s\S]+")
         self.lone = set(alone.replace("\\", ""))
         self.table: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"table": {}, "pairs": {}}
+        return self.__dict__ | {"table": {}, "older": {}, "pairs": {}}
 
     # -- weights ------------------------------------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: merge the best-scored neighbours, leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
+        parts, score = list(text), self.scores.get
+        heights = [score(a + b, DEAD) for a, b in zip(parts, parts[1:])]
+        while heights and (best := max(heights)) != DEAD:
+            at = heights.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del heights[at]
+            if at < len(heights):
+                heights[at] = score(parts[at] + parts[at + 1], DEAD)
+            if at:
+                heights[at - 1] = score(parts[at - 1] + parts[at], DEAD)
+        return parts
 
     def weight(self, last: str, piece: str) -> float:
         """Weight of ``piece`` after ``last`` ('' where nothing before matters)."""
@@ -142,10 +147,19 @@ class Pieces:
         """Ids of the text between two places that no piece spans."""
         if (known := self.table.get(word)) is None:
             if len(self.table) > self.WORDS:
-                self.table.clear()
-            nodes = self.walk(word, {(0, ""): 0.0}, len(word))
-            last = max(nodes[len(word)].items(), key=lambda kv: kv[1][0])[0]
-            known = tuple(self.trace(word, nodes, len(word), last))
+                self.table, self.older = {}, self.table
+            if (known := self.older.pop(word, None)) is not None:
+                pass
+            elif self.bpe and len(word) <= 64:
+                pieces = self.merged(word)
+                try:
+                    known = tuple(map(self.ids.__getitem__, pieces))
+                except KeyError:
+                    known = tuple(i for piece in pieces for i in self.ids_of(piece))
+            else:
+                nodes = self.walk(word, {(0, ""): 0.0}, len(word))
+                last = max(nodes[len(word)].items(), key=lambda kv: kv[1][0])[0]
+                known = tuple(self.trace(word, nodes, len(word), last))
             if len(word) <= 64:
                 self.table[word] = known
         return known
@@ -157,6 +171,11 @@ class Pieces:
         return array("i", chain.from_iterable(map(self.word, self.words.findall(SPACE + text.replace(" ", SPACE)))))
 
     def decode(self, ids: Iterable[int]) -> str:
+        try:
+            text = "".join(map(self.surface.__getitem__, ids))
+            return text[1:] if text[:1] == " " else text
+        except TypeError:  # bytes of characters beyond ASCII
+            pass
         out, raw = [], bytearray()
         for i in ids:
             if self.types[i] == 6:
@@ -399,6 +418,6 @@ def decode(df: DataFrame, model: Pieces, ids_col: str = "ids", out_col: str = "d
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def texts(ids: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.decode(i) if i is not None else None for i in ids], dtype=object)
+        return pd.Series([shared.value.decode(i.tolist()) if i is not None else None for i in ids], dtype=object)
 
     return df.withColumn(out_col, F.pandas_udf(texts, "string")(F.col(ids_col)))
