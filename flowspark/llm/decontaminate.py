@@ -34,12 +34,13 @@ _QUANTITY = re.compile(r"[+-]?\d[\d.,]*([^\W\d_]{1,4})")
 UNITS = frozenset("km m cm mm kg g mg t lb lbs oz l ml cl s sec min h hr hrs hour hours day days week weeks month months year years mile miles foot feet inch inches degree degrees percent dollar dollars euro euros cent cents usd eur kwh watt watts volt volts heures jours euros stunden tage minuten horas minutos minutes seconds".split())
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_PUNCTUATION = ".,;:!?\"'()[]"
 
 
 class Canon(dict):
     """word -> index into growing arrays of its canonical hash, its type, its value and whether it ends a sentence."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -51,26 +52,34 @@ class Canon(dict):
         self.hashes, self.types, self.ends = np.zeros(4096, dtype=np.uint64), np.zeros(4096, dtype=np.int8), np.zeros(4096, dtype=bool)
 
     def __missing__(self, word: str) -> int:
-        bare = _EDGE.sub("", word)
+        bare = word if word.isalpha() else word.strip(_PUNCTUATION)
         low = bare.lower()
-        kind, said = WORD, low
-        if word[-1:] == "%" and bare[-1:].isdigit():
-            kind = NUM
-        elif low in NUMBER_WORDS or (bare and _NUMBER.fullmatch(bare)):
-            kind = NUM
-        elif (m := _QUANTITY.fullmatch(bare)) and m[1].lower() in UNITS:
-            kind = QUANTITY
-        elif bare[:1].isupper() and bare[1:].islower():
-            kind = NAME
-        elif low in UNITS:
-            kind = UNIT
+        kind = WORD
+        if bare.isalpha():  # neither number nor quantity
+            if low in NUMBER_WORDS:
+                kind = NUM
+            elif bare[:1].isupper() and bare[1:].islower():
+                kind = NAME
+            elif low in UNITS:
+                kind = UNIT
+        else:
+            bare = _EDGE.sub("", bare)
+            low = bare.lower()
+            if (word[-1:] == "%" and bare[-1:].isdigit()) or low in NUMBER_WORDS or (bare and _NUMBER.fullmatch(bare)):
+                kind = NUM
+            elif (m := _QUANTITY.fullmatch(bare)) and m[1].lower() in UNITS:
+                kind = QUANTITY
+            elif bare[:1].isupper() and bare[1:].islower():
+                kind = NAME
+            elif low in UNITS:
+                kind = UNIT
         self[word] = at = len(self.values)
         if at == len(self.hashes):
             self.hashes, self.types, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.types, self.ends))
         self.hashes[at] = xxhash.xxh3_64_intdigest(low) if bare else 0
         self.types[at] = kind if bare else -1
         self.ends[at] = word.rstrip("\"')]»”")[-1:] in {".", "!", "?", ":", ";"}
-        self.values.append(said)
+        self.values.append(low)
         return at
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
