@@ -6,8 +6,8 @@ member, so only groups whose bound reaches the threshold are opened and compared
 components of all links.
 
 Steps. (1) Equal sets become one. (2) Three rounds bring sets with an equal pair of min-hashes together, in chunks, and link what is
-similar in a chunk; the chunk's members then stand for their smallest member. This only forms the groups: a family of any
-size shrinks to few groups, and nothing later depends on what a round misses. (3) Search: a pair of similar sets shares
+similar in a chunk; the chunk's members then stand for their smallest member. What shares one more min-hash, linked or not,
+forms groups of about ``CHUNK`` sets: a family of any size shrinks to few groups, and nothing later depends on what they miss. (3) Search: a pair of similar sets shares
 one of its first tokens (prefix filter: n - ceil(t n) + 1 tokens in an order that puts frequent tokens last). Tokens whose
 documents all stand for one group are done with; those of the others name the (query, group) pairs, which
 signatures of fixed size, the bound and then the comparison settle. (4) Components of the links between groups.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import cut, min_labels
@@ -37,6 +37,7 @@ SKETCH_BITS = 18
 ROUNDS = 3
 CHUNK = 64
 QUERY_BLOCK = 256
+BUCKET = 4096
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SIGNATURE = 1 << 10, 1 << 16  # bits, least and most
 
@@ -73,13 +74,48 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """Bits in which two signatures differ; one may be twice as long. Null when they are further apart, as only sets of unlike size are."""
-    half = lambda x: F.floor(F.size(x) / 2).cast("int")
-    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
-    a, b = F.when(F.size(a) == 2 * F.size(b), fold(a)).otherwise(a), F.when(F.size(b) == 2 * F.size(a), fold(b)).otherwise(b)
-    bits = F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), bits)
+def _fold(m: np.ndarray, length: int) -> np.ndarray:
+    """Rows of signatures, twice as long at most, folded to ``length`` words."""
+    return m if m.shape[1] == length else m[:, :length] ^ m[:, length:]
+
+
+def _face_groups(percent: int):
+    """applyInPandas function over some (gid, block): the queries whose signature is near that of a member with a greater leader."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (gid, _), part in pdf.groupby(["gid", "block"], sort=False):
+            words = part["sig"].map(len)
+            sides = {}
+            for asked in (False, True):
+                chosen = part[part["is_query"] == asked]
+                for length, rows in chosen.groupby(words[chosen.index]):
+                    sides[asked, length] = np.stack(rows["sig"].to_numpy()), rows["n"].to_numpy(), rows["leader"].to_numpy(), rows["k"].to_numpy()
+            for (asked, length), (sig, n, leader, k) in sides.items():
+                if not asked:
+                    continue
+                near = np.zeros(len(k), dtype=bool)
+                for other in (length // 2, length, 2 * length):
+                    if (False, other) not in sides:
+                        continue
+                    m_sig, m_n, m_leader, _ = sides[False, other]
+                    short = min(length, other)
+                    q, m = _fold(sig, short), _fold(m_sig, short)
+                    for j in range(len(m)):
+                        apart = np.bitwise_count(q ^ m[j]).sum(axis=1, dtype=np.int64)
+                        near |= ((100 + percent) * apart <= (100 - percent) * (n + m_n[j])) & (leader < m_leader[j])
+                out.append((gid, k[near]))
+        return pd.DataFrame({"gid": np.repeat(np.array([g for g, _ in out], dtype=np.int64), [len(k) for _, k in out]), "k": np.concatenate([k for _, k in out] or [np.empty(0, np.int64)])})
+
+    return run
+
+
+def _blocks(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, block, k, leader, is_query): queries of each group in blocks, the group's members beside every block."""
+    blocks = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    asked = pairs.join(blocks, "gid").select("gid", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"), "k", "leader", F.lit(True).alias("is_query"))
+    held = groups.join(blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "k", "leader", F.lit(False).alias("is_query"))
+    return asked.unionByName(held)
 
 
 def _summaries(n: int):
@@ -89,25 +125,25 @@ def _summaries(n: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, counts = Powers(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "k", *[f"m{j}" for j in range(ROUNDS)], "sig", "counts"]
+        names = ["doc_id", "n", "k", *[f"m{j}" for j in range(ROUNDS)], "loose", "sig", "counts"]
         for b in batches:
             rows, all_tokens = [], []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 t = shingles(text, n, powers)
                 if not len(t):
-                    rows.append((doc_id, 0, 0, *[0] * ROUNDS, None, None))
+                    rows.append((doc_id, 0, 0, *[0] * ROUNDS, 0, None, None))
                     continue
                 all_tokens.append((t >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 mins = np.array([(t * s).min() for s in _SEEDS])
                 pairs = (mins * _SEEDS[0] ^ np.roll(mins, 1)).view(np.int64).tolist()
-                rows.append((doc_id, len(t), set_key(t), *pairs, signature(t), None))
+                rows.append((doc_id, len(t), set_key(t), *pairs, int(mins[:1].view(np.int64)[0]), signature(t), None))
                 if len(all_tokens) >= 500:
                     counts += np.bincount(np.concatenate(all_tokens), minlength=1 << SKETCH_BITS)
                     all_tokens.clear()
             if all_tokens:
                 counts += np.bincount(np.concatenate(all_tokens), minlength=1 << SKETCH_BITS)
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-        yield pd.DataFrame([(None, -1, 0, *[0] * ROUNDS, None, counts)], columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame([(None, -1, 0, *[0] * ROUNDS, 0, None, counts)], columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -206,14 +242,14 @@ def _search_group(percent: int):
         out = []
         if mine:
             union, least = np.unique(np.concatenate(mine)), min(map(len, mine))
-            for k, raw in pdf.loc[pdf["is_query"], ["k", "tokens"]].itertuples(index=False):
+            for k, raw, leader in pdf.loc[pdf["is_query"], ["k", "tokens", "leader"]].itertuples(index=False):
                 q = np.frombuffer(raw, dtype=np.uint64)
                 at = np.searchsorted(union, q)
                 at[at == len(union)] = 0
                 bound = int(np.count_nonzero(union[at] == q))
                 if (100 + percent) * bound < percent * (len(q) + least):
                     continue
-                out += [(k, m) for m, s in zip(members["k"], mine) if similar(q, s, percent)]
+                out += [(k, m) for m, s, up in zip(members["k"], mine, members["leader"]) if leader < up and similar(q, s, percent)]
         return pd.DataFrame(out, columns=["k", "member"]).astype("int64")
 
     return run
@@ -225,13 +261,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     mins = ", ".join(f"m{j} long" for j in range(ROUNDS))
-    seen = cut(docs.mapInPandas(_summaries(n), f"doc_id long, n long, k long, {mins}, sig array<long>, counts array<long>"))
+    seen = cut(docs.mapInPandas(_summaries(n), f"doc_id long, n long, k long, {mins}, loose long, sig array<long>, counts array<long>"))
     rows = seen.where("n >= 0").select("doc_id", "n", "k")
     places = seen.where("n < 0").select(F.posexplode("counts").alias("place", "c")).where("c > 0").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     counts[places["place"].to_numpy()] = places["c"].to_numpy()
     classes = frequency_classes(counts)
-    nodes = cut(seen.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(ROUNDS)]))
+    nodes = cut(seen.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("loose").alias("loose"), *[F.first(f"m{j}").alias(f"m{j}") for j in range(ROUNDS)]))
 
     # groups of similar sets: chunks of equal min-hash, three times over what still stands for itself
     needed = None
@@ -250,8 +286,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         step = moved.select(F.col("k").alias("leader"), F.col("leader").alias("up"))
         stands = stands.join(step, "leader", "left").select("k", F.coalesce("up", "leader").alias("leader"))
         alone = cut(alone.join(moved, "k", "left_anti"))
-    size = stands.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    groups = cut(stands.join(size, "leader").select("k", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("k"), F.col("chunks"))).alias("gid")))
+    placed = stands.join(nodes.select(F.col("k").alias("leader"), "loose"), "leader")
+    size = placed.groupBy("loose").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    groups = cut(placed.join(size, "loose").select("k", "leader", F.xxhash64("loose", F.pmod(F.xxhash64("k"), F.col("chunks"))).alias("gid")))
 
     # tokens that lead from one group's sets to another's
     shared = cut(docs.select("text").mapInPandas(_prefix_rows(n, percent, classes), "token long, k long, n int").groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token"))
@@ -259,16 +296,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     hits = cut(hits.join(shared, "token", "left_semi").join(groups, "k"))
     across = hits.groupBy("token").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo <> hi").select("token")
     hits = cut(hits.join(across, "token", "left_semi").distinct())
-    matrix = hits.groupBy("token", "gid", F.col("leader").alias("g_leader")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = hits.groupBy("token", "gid").agg(F.max("leader").alias("g_leader"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     near = hits.withColumnRenamed("gid", "own").join(matrix, "token").where((F.col("leader") < F.col("g_leader")) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent))
-    # signatures rule most pairs out before any set is read: similar sets differ in few tokens
-    who = groups.join(nodes.select("k", "n", "sig"), "k").select("gid", F.col("k").alias("member"), F.col("n").alias("m_n"), F.col("sig").alias("m_sig"))
-    facing = near.select("gid", "k").distinct().join(nodes.select("k", "n", "sig"), "k").join(who, "gid")
-    pairs = cut(facing.where((100 + percent) * _differ(F.col("sig"), F.col("m_sig")) <= (100 - percent) * (F.col("n") + F.col("m_n"))).select("gid", "k").distinct())
-    blocks = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    asked = pairs.join(blocks, "gid").select("gid", F.pmod(F.xxhash64("k"), F.col("blocks")).alias("block"), "k", F.lit(True).alias("is_query"))
-    held = groups.join(blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), "k", F.lit(False).alias("is_query"))
-    work = cut(asked.unionByName(held))
+    # signatures rule most queries out before any set is read: similar sets differ in few tokens
+    facing = cut(_blocks(cut(near.select("gid", "k", "leader").distinct()), groups))
+    buckets = 1 + facing.count() // BUCKET
+    facing = facing.join(nodes.select("k", "n", "sig"), "k").groupBy(F.pmod(F.xxhash64("gid", "block"), F.lit(buckets)).alias("bucket"))
+    pairs = cut(facing.applyInPandas(_face_groups(percent), "gid long, k long").join(groups.select("k", "leader"), "k"))
+    work = cut(_blocks(pairs, groups))
     found = work.join(_sets(docs, work.select("k").distinct(), n), "k").groupBy("gid", "block").applyInPandas(_search_group(percent), "k long, member long")
     of = lambda side: groups.select(F.col("k").alias(side), F.col("leader").alias("a" if side == "k" else "b"))
     edges = cut(found.distinct().join(of("k"), "k").join(of("member"), "member").select("a", "b").distinct())
