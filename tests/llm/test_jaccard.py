@@ -69,6 +69,23 @@ def test_large_family_and_first_of_each(spark):
     assert [r.doc_id for r in jaccard.keep_first(df).collect()] == [0]
 
 
+def test_family_around_the_threshold(spark, monkeypatch):
+    """Sets that share a min-hash without being linked stand in one group, and their links are still found."""
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.choice([3, 5, 6, 9])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    expected = brute(rows, 4, 85)
+    assert 1 < len({c for _, _, c in expected}) < 120
+    got = jaccard.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], DOC).repartition(4), 4, 85).collect()
+    assert sorted(map(tuple, got), key=repr) == expected
+
+
 def test_similar_at_the_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert jaccard.similar(a, a[:85], 85) and not jaccard.similar(a, a[:84], 85)
