@@ -102,7 +102,8 @@ def _face_groups(percent: int):
                     short = min(length, other)
                     q, m = _fold(sig, short), _fold(m_sig, short)
                     for j in range(len(m)):
-                        apart = np.bitwise_count(q ^ m[j]).sum(axis=1, dtype=np.int64)
+                        # counted unsigned: of a signed value numpy counts the bits of its absolute value
+                        apart = np.bitwise_count((q ^ m[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
                         near |= ((100 + percent) * apart <= (100 - percent) * (n + m_n[j])) & (leader < m_leader[j])
                 out.append((gid, k[near]))
         return pd.DataFrame({"gid": np.repeat(np.array([g for g, _ in out], dtype=np.int64), [len(k) for _, k in out]), "k": np.concatenate([k for _, k in out] or [np.empty(0, np.int64)])})

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from flowspark.llm import jaccard
@@ -86,6 +87,24 @@ def test_family_around_the_threshold(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == expected
 
 
+def test_signatures_rule_out_no_link():
+    """Isolated pairs of 300 to 5000 tokens around the threshold, by the signature test alone."""
+    rng = np.random.default_rng(5)
+    rows, linked = [], set()
+    for g in range(120):
+        n = int(rng.choice([300, 1000, 2000, 5000]))
+        share = rng.uniform(0.85, 0.92)
+        both = int(2 * n * share / (1 + share)) + 1
+        all_tokens = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * n - both, dtype=np.uint64)
+        a, b = np.sort(all_tokens[:n]), np.sort(all_tokens[n - both :])
+        rows += [(g, 0, 2 * g, 2 * g, len(a), jaccard.signature(a), True), (g, 0, 2 * g + 1, 2 * g + 1, len(b), jaccard.signature(b), False)]
+        if jaccard.similar(a, b, 85):
+            linked.add(2 * g)
+    assert len(linked) > 20
+    got = jaccard._face_groups(85)(pd.DataFrame(rows, columns=["gid", "block", "k", "leader", "n", "sig", "is_query"]))
+    assert linked <= set(got["k"])
+
+
 def test_similar_at_the_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert jaccard.similar(a, a[:85], 85) and not jaccard.similar(a, a[:84], 85)
