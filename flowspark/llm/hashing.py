@@ -14,6 +14,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.array([xxhash.xxh3_64_intdigest(bytes([i])) for i in range(256)], dtype=np.uint64)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -33,7 +34,9 @@ class Powers:
 
 
 def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space: the word's part of a running polynomial, shifted to its start."""
+    """64-bit hashes of the words between ASCII white space: the word's part of a running polynomial, shifted to its start.
+
+    They are mixed with the word's length, since ``rolling`` combines them by powers of the same base: characters of neighbouring words must not be exchangeable."""
     codes = np.frombuffer(raw, dtype=np.uint8)
     gap = np.concatenate([[True], _GAP[codes], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
@@ -41,7 +44,7 @@ def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
     powers.grow(len(codes) + 1)
     run = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(_LETTER[codes] * powers.up[: len(codes)], out=run[1:])
-    return (run[ends] - run[starts]) * powers.down[starts]
+    return mix((run[ends] - run[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from flowspark.llm import jaccard
+from flowspark.llm.hashing import Powers
 
 DOC = "doc_id long, text string, component_id string"
 
@@ -105,6 +106,17 @@ def test_signatures_rule_out_no_link():
     assert linked <= set(got["k"])
 
 
+def test_shingles_are_told_apart():
+    """Characters of neighbouring words don't change places unseen."""
+    powers = Powers()
+    assert jaccard.shingles("the of an he", 4, powers) != jaccard.shingles("the of en ha", 4, powers)
+    assert jaccard.shingles("x y to be", 4, powers) != jaccard.shingles("x y eo bt", 4, powers)
+    rng = random.Random(13)
+    for n in (2, 4, 5):
+        words = [f"{rng.randrange(100):02d}" for _ in range(40_000)]
+        assert len(jaccard.shingles(" ".join(words), n, powers)) == len({tuple(words[i : i + n]) for i in range(len(words) - n + 1)})
+
+
 def test_similar_at_the_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert jaccard.similar(a, a[:85], 85) and not jaccard.similar(a, a[:84], 85)
