@@ -3,7 +3,9 @@
 Texts become sequences of canonical tokens: words in lower case without surrounding punctuation; numbers, names and units
 become typed placeholders whose original value is kept as a slot. Windows of canonical tokens are hashed and joined with
 those of the benchmark, so a question whose numbers, names or units were exchanged still meets its template. For each
-(document, item) the slots of the matching windows must agree: one value of the item stands for one value of the document.
+(document, item) the slots of the matching windows must agree: one value of the item stands for one value of the document,
+or of one occurrence of the item in it. An occurrence has one distance between its windows and the item's, or, with words
+put in or left out, distances no more than half an item apart; an item spread over the document counts as a whole.
 
 A name is a capitalised word that doesn't begin a sentence; a unit is a unit word after a number. Windows with fewer than
 ``min_literals`` ordinary words say too little and count on neither side. An item shorter than a window is one window.
@@ -17,11 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.common import cut
@@ -128,27 +132,44 @@ def template_windows(width: int, min_literals: int, short: tuple[int, ...] = (),
     return windows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_literals: int = 4) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, coverage, slots, slot_agreement) for every document and item that share a template window."""
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_literals: int = 4, min_coverage: float = 0.5, min_agreement: float = 0.8) -> DataFrame:
+    """(doc_id, item_id, windows, item_windows, coverage, slots, slot_agreement, changed) for every document and item that share a template window.
+
+    The figures are those of the whole document or of one occurrence of the item in it: one that is enough for
+    ``contaminated``, if there is any, rather a verbatim one, then the one of the greatest coverage."""
     schema = "id long, h long, pos long, slots array<string>"
     items = benchmark.select(F.col("item_id").alias("id"), "text").distinct()
     # the bench side is cut: it feeds the bitmap, the join and the counts
     bench = cut(items.repartition(8, "id", "text").mapInPandas(template_windows(width, min_literals, short=(0,)), schema).select(F.col("id").alias("item_id"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct())
     lengths = bench.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    tokens = bench.groupBy("item_id").agg((F.max("item_pos") + width).alias("n_tokens"))
     widths = short_widths(items, width)
     hits = docs.select(F.col("doc_id").alias("id"), "text").mapInPandas(template_windows(width, min_literals, short=widths, only=bitmap(bench, "h")), schema)
     met = hits.withColumnRenamed("id", "doc_id").join(bench, "h")
-    met = met.where(F.size("slots") == F.size("item_slots"))
+    met = cut(met.where(F.size("slots") == F.size("item_slots")))
     by = ["doc_id", "item_id"]
-    cover = met.groupBy(*by, "item_pos").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("*").alias("windows"))
-    # an item's value should stand for one value of the document: its most frequent partner counts as agreed
-    pairs = met.select(*by, F.explode(F.arrays_zip(F.col("item_slots").alias("want"), F.col("slots").alias("got"))).alias("s")).groupBy(*by, "s.want", "s.got").agg(F.count("*").alias("n"))
-    values = pairs.groupBy(*by, "want").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.sum(F.when(F.col("want") != F.col("got"), F.col("n")).otherwise(0)).alias("changed"))
-    slots = values.groupBy(*by).agg(F.sum("all").alias("slots"), (F.sum("top") / F.sum("all")).alias("slot_agreement"), F.sum("changed").alias("changed"))
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-    out = cover.alias("c").join(slots.alias("s"), same[0] & same[1], "left").select("c.doc_id", "c.item_id", "windows", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"), F.coalesce("changed", F.lit(0)).alias("changed"))
+    # windows at one distance from the item's are one occurrence; distances with small gaps are one with words put in or left out
+    far = F.col("pos") - F.col("item_pos")
+    steps = met.select(*by, far.alias("far")).distinct().join(tokens.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+    w = Window.partitionBy(*by).orderBy("far")
+    steps = steps.withColumn("new", F.when(F.col("far") - F.lag("far").over(w) <= F.col("n_tokens") / 2, 0).otherwise(1)).withColumn("part", F.sum("new").over(w)).select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), F.col("far").alias("_far"), "part")
+    met = met.withColumn("far", far).join(steps, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("far") == F.col("_far")))
+    tries = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("at")), F.struct(F.lit(1).alias("level"), F.col("part").cast("long").alias("at")), F.struct(F.lit(2).alias("level"), F.col("far").alias("at")))
+    met = met.select(*by, "item_pos", "slots", "item_slots", F.explode(tries).alias("try")).select(*by, "try.level", "try.at", "item_pos", "slots", "item_slots")
+    per = [*by, "level", "at"]
+    cover = met.groupBy(*per, "item_pos").agg(F.lit(1).alias("one")).groupBy(*per).agg(F.count("*").alias("windows"))
+    # an item's value should stand for one value of the occurrence: its most frequent partner counts as agreed
+    pairs = met.select(*per, F.explode(F.arrays_zip(F.col("item_slots").alias("want"), F.col("slots").alias("got"))).alias("s")).groupBy(*per, "s.want", "s.got").agg(F.count("*").alias("n"))
+    values = pairs.groupBy(*per, "want").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.sum(F.when(F.col("want") != F.col("got"), F.col("n")).otherwise(0)).alias("changed"))
+    slots = values.groupBy(*per).agg(F.sum("all").alias("slots"), (F.sum("top") / F.sum("all")).alias("slot_agreement"), F.sum("changed").alias("changed"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in per]
+    out = cover.alias("c").join(slots.alias("s"), reduce(and_, same), "left").select(*[f"c.{c}" for c in per], "windows", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("slot_agreement", F.lit(1.0)).alias("slot_agreement"), F.coalesce("changed", F.lit(0)).alias("changed"))
     out = out.alias("o").join(lengths.alias("l"), F.col("o.item_id").eqNullSafe(F.col("l.item_id")))
-    return out.select("o.doc_id", "o.item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "slot_agreement", "changed")
+    out = out.select("o.doc_id", "o.item_id", "windows", "item_windows", (F.col("windows") / F.col("item_windows")).alias("coverage"), "slots", "slot_agreement", "changed", "level")
+    said = ["windows", "item_windows", "coverage", "slots", "slot_agreement", "changed"]
+    enough = (F.col("coverage") >= min_coverage) & (F.col("slot_agreement") >= min_agreement)
+    rank = F.struct(enough.alias("enough"), (F.col("changed") == 0).alias("verbatim"), F.col("coverage"), F.col("slot_agreement"), -F.col("level"), F.col("slots"))
+    return out.groupBy(*by).agg(F.max_by(F.struct(*said), rank).alias("best")).select(*by, "best.*")
 
 
 def short_widths(items: DataFrame, width: int) -> tuple[int, ...]:
@@ -165,7 +186,7 @@ def short_widths(items: DataFrame, width: int) -> tuple[int, ...]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_literals: int = 4, min_coverage: float = 0.5, min_agreement: float = 0.8) -> DataFrame:
     """The pairs of ``contamination`` that cover at least ``min_coverage`` of the item with agreeing slots; ``kind`` is
     ``verbatim`` when all slots hold the item's own values, else ``reparameterised``."""
-    found = contamination(docs, benchmark, width, min_literals).where((F.col("coverage") >= min_coverage) & (F.col("slot_agreement") >= min_agreement))
+    found = contamination(docs, benchmark, width, min_literals, min_coverage, min_agreement).where((F.col("coverage") >= min_coverage) & (F.col("slot_agreement") >= min_agreement))
     return found.withColumn("kind", F.when(F.col("changed") == 0, "verbatim").otherwise("reparameterised")).drop("changed")
 
 

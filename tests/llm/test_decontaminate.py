@@ -35,6 +35,20 @@ def test_slots_must_agree(spark):
     assert found(spark, [(1, same, None), (2, mixed, None)], item) == {(1, 1): "reparameterised"}
 
 
+def test_each_occurrence_counts(spark):
+    """A sheet of variants of an item, each consistent by itself; one with a word put in, one whose halves stand apart."""
+    said = "A train leaves {} at {} and travels {} km toward {} where {} waits for {} minutes before she walks home."
+    odd = said.replace("km toward", "km then slowly on toward")
+    a, b, c = ("Paris", "9:30", "120", "Lyon", "Marie", "45"), ("Rome", "8:15", "300", "Milan", "Anna", "20"), ("Bonn", "7:10", "80", "Mainz", "Petra", "15")
+    rest = " other words stand here between the two of them, and there are quite enough of these."
+    words = said.format(*a).split()
+    docs = [
+        (1, said.format(*a) + " " + said.format(*b), None), (2, " ".join(said.format(*x) for x in (b, c, b[:2] + c[2:])), None),
+        (3, odd.format(*b) + rest + " " + odd.format(*c), None), (4, " ".join(words[:13]) + rest + " " + " ".join(words[9:]), None),
+    ]
+    assert found(spark, docs, ITEMS[:1]) == {(1, 1): "verbatim", (2, 1): "reparameterised", (3, 1): "reparameterised", (4, 1): "verbatim"}
+
+
 def test_coverage_against_brute_force(spark):
     import random
 
