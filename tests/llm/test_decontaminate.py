@@ -49,6 +49,13 @@ def test_each_occurrence_counts(spark):
     assert found(spark, docs, ITEMS[:1]) == {(1, 1): "verbatim", (2, 1): "reparameterised", (3, 1): "reparameterised", (4, 1): "verbatim"}
 
 
+def test_items_of_few_ordinary_words(spark):
+    """Copies of numbers, names and short questions are found as they stand, and nothing else of them."""
+    items = [(1, "1 2 3 4 5 6 7 8 9 10", "x"), (2, "What is 12 * 7 + 5?", "x"), (3, "List: Anna Berta Clara Dora Emma Frida Greta Hanna Ida Jana", "x"), (4, "Take the old red cart to town by noon for 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "x")]
+    docs = [(1, "so 1 2 3 4 5 6 7 8 9 10 they say", None), (2, "1 2 3 4 9 9 9 5 6 7 8 9 10", None), (3, "Tell me: what is 12 * 7 + 5?", None), (4, "What is 13 * 7 + 5?", None), (5, "the list: Anna Berta Clara Dora Emma Frida Greta Hanna Ida Jana", None), (6, "the list: Anna Berta Carla Dora Emma Frida Grete Hanna Ida Jana", None), (7, "take the old red cart to town by noon for 9 8 7 6 and no more", None)]
+    assert found(spark, docs, items) == {(1, 1): "verbatim", (3, 2): "verbatim", (5, 3): "verbatim", (7, 4): "reparameterised"}
+
+
 def test_coverage_against_brute_force(spark):
     import random
 
