@@ -14,13 +14,33 @@ MONTHS = (
 UNITS = "% × x times fois mal veces kwh mwh wh km °c mm/h mm h min s".split()
 #: Separators of thousands inside a figure: no-break, thin and narrow no-break space (a plain space only before three digits after one to three).
 THIN = "\u00a0\u2009\u202f"
+#: A token that keeps what it parts from being neighbours.
+APART = " \u25c6 "
+#: Passages whose digits state no figure: links, notes, ISO dates, ranges of minutes and the slot of 15 minutes.
+CLAIMED = (
+    r"https?://\S+", r"\[\^?\d+\]", r"\b\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}\S*)?\b",
+    r"(?i)\b\d{1,3}\s*[–-]\s*\d{1,3}\s*min\w*\b", r"(?i)\b15[\s-]?min\w*\b",
+)
+CLOCK = r"(?<![\d:])((?:[01]?\d|2[0-3]):[0-5]\d)(?!\d)(?!:\d)"
+#: Where a figure begins or ends inside a word: dashes, the hyphen after digits (of a range with a hyphen the first number counts,
+#: since the second one can't be told from a negative one), and signs before or after digits that belong to no number or unit.
+SEAMS = (
+    r"[–—]", r"(?<=\w)−(?=\d)", r"(?<=\d)-\d[\d_.,]*", r"(?<=\d)-(?=\D)", r"(?<=\d)(?=[^\w\s.,/:;!?%×°)\]\"»”-])",
+    r"(?<=[^\w\s./:,+−-])(?=[-+−]?\d)", r"(?<=[^\d\s],)(?=\d)",
+)
 
 
 def _tokens(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
     """One row per token with its neighbours: (key, i, w, before, after, starts); code spans are no tokens."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text_col), "`[^`]*`", " "), f"(?<=\\d)[{THIN}](?=\\d)", "_")
+    plain = F.regexp_replace(F.col(text_col), "`[^`]*`", " ")
+    for pattern in CLAIMED:
+        plain = F.regexp_replace(plain, pattern, APART)
+    plain = F.regexp_replace(plain, f"(?<=\\d)[{THIN}](?=\\d)", "_")
     # a plain space between digit groups of a grouped figure holds it together
     plain = F.regexp_replace(plain, r"(?<![\w.,:/-])(\d{1,3}) (?=\d{3}(?:[^\w]|$))", "$1_")
+    plain = F.regexp_replace(plain, CLOCK, f"{APART}$1{APART}")
+    for pattern in SEAMS:
+        plain = F.regexp_replace(plain, pattern, APART)
     words = F.split(F.regexp_replace(plain, "\n", " \u23ce "), r"\s+")
     rows = texts.select(*key, words.alias("_w")).select(*key, "_w", F.posexplode("_w").alias("i", "w")).where(F.col("w").rlike(r"\d"))
     at = lambda d: F.coalesce(F.try_element_at("_w", F.col("i") + 1 + d), F.lit("")) if d > 0 else F.when(F.col("i") + d >= 0, F.get("_w", F.col("i") + d)).otherwise("")
@@ -32,17 +52,16 @@ def _bare(c: Column) -> Column:
 
 
 def _unclaimed(t: DataFrame) -> Column:
-    """Tokens whose digits state no figure: links, ISO dates, line names, years, list numbers, notes, ranges and days of a month."""
+    """Tokens whose digits state no figure: links, ISO dates, line names, years, list numbers, notes and days of a month."""
     w, low = F.col("w"), lambda c: F.lower(_bare(F.col(c)))
     bare = _bare(w)
     month = lambda c: low(c).isin(MONTHS)
     listed = w.rlike(r"^\d+[.)]$") & F.col("before").isin("", "\u23ce", "#", "##", "###")
     slot = (bare == "15") & (low("after").startswith("min") | (low("before") == "per"))
-    span = bare.rlike(r"^\d{1,3}[–-]\d{1,3}$")
     day = bare.rlike(r"^\d{1,2}(st|nd|rd|th|er|e|\.)?$") & (month("after") | month("before"))
     return (
         w.contains("://") | bare.rlike(r"^\d{4}-\d{2}-\d{2}") | bare.rlike(r"^[US]\d{1,2}$") | bare.rlike(r"^(19|20)\d{2}$") | listed
-        | w.rlike(r"^\[\^?\d+\]") | slot | (bare == "24/7") | span | day
+        | w.rlike(r"^\[\^?\d+\]") | slot | (bare == "24/7") | day
     )
 
 

@@ -162,6 +162,21 @@ def test_figures_and_checks(spark):
     assert s[450.0] == "calculated"
 
 
+def test_figures_with_something_attached(spark):
+    """Currency signs, tildes, hyphens, dashes and clock times inside a word; by the reference only ranges of minutes are skipped."""
+    texts = {
+        "costs $500 or 50€ now": {500.0, 50.0}, "~500 people, **450** km": {500.0, 450.0}, "a 500-seat hall": {500.0}, "at 3:20pm": {200.0},
+        "from 9:30-10:15 on": {570.0, 615.0}, "9:30–10:15": {570.0, 615.0}, "12-15 stations": {12.0}, "12–15 stations": {12.0, 15.0}, "12-15 minutes": set(), "12 – 15 min late": set(),
+        "a 15-minute slot of 15 min": set(), "2019–2021 and 1999-2004": set(), "-500 and (+20) or −30": {-500.0, 20.0, -30.0}, "x-500, U12, 500kg, 500/day": set(),
+        "see https://a.b/500-600 [12] 2026-06-10": set(), "1,234.5 km; 12,345": {1234.5, 12345.0}, "500+ guests": {500.0}, "12.5%, 20 %": {12.5, 20.0}, "35°C and 3×": {35.0, 3.0}, "1. first\n20) second": set(),
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {t: set() for t in texts}
+    for r in ta.figures(d, ["id"]).collect():
+        got[list(texts)[r["id"]]].add(r["value"])
+    assert got == texts
+
+
 def test_flatten_json(spark):
     d = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": 2.5}]}, "d": "x"}')], "id int, j string")
     r = {(x["path"], x["value"]) for x in ta.flatten_json(d, "id", "j", 4).collect()}
