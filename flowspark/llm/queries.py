@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, syncmers, warc
+from flowspark.llm import chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, spelling, syncmers, warc
 from flowspark.llm.common import held_out, table
 
 SQL: dict[str, str] = {}
@@ -121,6 +121,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus, with letters lost by a hash of document and word, folded into their frequent near words."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), change=spelling.drop_letter(199))
+    return spelling.group_variants(words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository."""
     import corpus_pipeline
@@ -128,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, op13_spelling, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
