@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, spelling, syncmers, warc
+from flowspark.llm import alignment, chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, spelling, syncmers, warc
 from flowspark.llm.common import held_out, table
 
 SQL: dict[str, str] = {}
 
-#: The piece model's file; another installation sets it before it builds the queries.
+#: The tokenizers' files; another installation sets them before it builds the queries.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment.load(BYTE_MODEL, PIECE_MODEL))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the corpus, with letters lost by a hash of document and word, folded into their frequent near words."""
     words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), change=spelling.drop_letter(199))
@@ -134,7 +139,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, op13_spelling, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, op12_token_alignment, op13_spelling, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
