@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import alignment, chat, decontaminate, dom, jaccard, langid, pieces, quality, sharding, spelling, syncmers, warc
+from flowspark.llm import alignment, chat, decontaminate, dom, jaccard, langid, pieces, pii, quality, sharding, spelling, syncmers, warc
 from flowspark.llm.common import held_out, table
 
 SQL: dict[str, str] = {}
@@ -122,6 +122,14 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("all_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    written_out = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written_out("base_spans").cast("binary"), 256).alias("base_sha256"), written_out("all_spans").alias("spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment.load(BYTE_MODEL, PIECE_MODEL))
 
@@ -139,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, op12_token_alignment, op13_spelling, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_quality, op4_sentencepiece, op5_language_id, op6_warc_fixity, op7_ngram_jaccard, op8_fingerprints, op9_html_extraction, op10_chat_formatting, op11_personal_data, op12_token_alignment, op13_spelling, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
