@@ -1,15 +1,14 @@
 """Timetable, text audit, sources and streams on the bound tables."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from flowspark.bindings import station_of
 from flowspark.catalog.ctes import cte, hav
 from flowspark.catalog.registry import register
-from flowspark.catalog.toolkit import alert_cells, gazetteer
+from flowspark.catalog.toolkit import alert_cells, gazetteer, normal
 from flowspark.functions import text as tx
 from flowspark.functions import time as t
+from flowspark.functions.lineage import cut, shared_folder
 from flowspark.operators import graph as g
 from flowspark.operators import textaudit as ta
 from flowspark.operators import timetable as tt
@@ -223,13 +222,8 @@ def _(n):
 
 # -- streams ----------------------------------------------------------------------------------
 def folder(n):
-    """Scratch folder for one stream: below the cluster's checkpoint folder, or local in tests."""
-    base = n.spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/stream-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix="flowspark-stream-")
+    """Scratch folder for one stream, below the folder that the cluster shares."""
+    return shared_folder(n.spark, "stream")
 
 
 def event_stream(n):
@@ -254,17 +248,54 @@ def _(n):
     return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
-@register("t4_stream_alerts", "rule station_key slot:t", ctes="fires", sql="SELECT rule, station_key, slot FROM (SELECT *, CAST(day - DATE '1970-01-01' AS BIGINT)*80+tod op FROM fires WHERE rule<>'R4') QUALIFY op-coalesce(lag(op) OVER (PARTITION BY rule, station_key ORDER BY op),-1000)>4")
+@register("t3_stream_hour_risk", "station_key slot:t hour_total:i hour_expected:f z:f above:b", ctes="normal flows", sql="""
+WITH e AS (SELECT station_key, slot, sum(expected) OVER v hour_expected, sum(expected*expected) OVER v hv FROM normal WINDOW v AS (PARTITION BY station_key, day ORDER BY tod ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER v=4),
+h AS (SELECT station_key, e-INTERVAL 15 MINUTE AS slot, sum(v) hour_total FROM (SELECT 'S'||lpad(CAST(user_id%25 AS VARCHAR),2,'0') station_key, time_bucket(INTERVAL 15 MINUTE, ts)+to_minutes(CAST(15*i AS BIGINT)) e, CAST(round(value*100) AS BIGINT) v FROM events, range(1,5) r(i)) WHERE e<=(SELECT max(ts) FROM events)-INTERVAL 30 MINUTE GROUP BY 1,2)
+SELECT station_key, slot, hour_total, hour_expected, (hour_total-hour_expected)/sqrt(greatest(hv,1)) z, (hour_total-hour_expected)/sqrt(greatest(hv,1))>3 above FROM h JOIN e USING(station_key, slot)""")
+def _(n):
+    """Live hour totals against the expectation of the hour: the streamed form of rule R4."""
+    live = sm.against_expected(sm.last_hour(event_stream(n)), sm.expected_hours(normal(n), n.clock))
+    out = sm.run_to_table(live, folder(n))
+    return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
+
+
+@register("t4_stream_alerts", "rule station_key slot:t", ctes="fires dense", sql="""
+SELECT rule, station_key, slot FROM (SELECT *, CAST(day - DATE '1970-01-01' AS BIGINT)*80+tod op FROM fires WHERE rule<>'R4') WHERE slot<=(SELECT max(slot) FROM dense)-INTERVAL 1 DAY
+QUALIFY op-coalesce(lag(op) OVER (PARTITION BY rule, station_key ORDER BY op),-1000)>4""")
 def _(n):
+    """Files whose rows are shuffled and up to a day out of order; alerts come once the watermark has passed a slot."""
     d = folder(n)
     c = alert_cells(n).select("station_key", F.col("slot").cast("timestamp").alias("slot"), win.op_index(n.clock).alias("op"), F.col("reading").cast("long").alias("reading"), "q95", "q99")
-    # One file per stretch of days keeps the replay in time order.
-    c.repartitionByRange(4, "op").sortWithinPartitions("op").write.parquet(f"{d}/cells")
-    s = sm.read_stream(n.spark, f"{d}/cells", "station_key string, slot timestamp, op long, reading long, q95 double, q99 double")
-    out = sm.run_to_table(sm.alert_state(s), d)
+    late = F.col("op") + F.pmod(F.xxhash64("station_key", "op"), F.lit(n.clock.slots_per_day - 10))
+    lo, hi = F.min("late"), F.max("late") + 1
+    c = cut(c.withColumn("late", late))
+    ends = c.agg(*[(lo + (hi - lo) * k / 5).alias(f"e{k}") for k in range(6)]).first()
+    for a, b in zip(ends, ends[1:]):  # one file after the other, so that they arrive in this order
+        c.filter((F.col("late") >= a) & (F.col("late") < b)).drop("late").coalesce(1).write.mode("append").parquet(f"{d}/cells")
+    sm.use_rocksdb(n.spark)
+    s = sm.read_stream(n.spark, f"{d}/cells", "station_key string, slot timestamp, op long, reading long, q95 double, q99 double", files_per_trigger=1)
+    out = sm.run_to_table(sm.alert_state(s, "1 day", slots_per_day=n.clock.slots_per_day), d)
     return out.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
+@register("t5_stream_corrections", "event_type day:d rows:i total:i newest:i", sql="""
+WITH v AS (SELECT event_id, event_type, ts, CAST(round(value*100) AS BIGINT) val, 1 ver FROM events UNION ALL SELECT event_id, event_type, ts, 7, 3 FROM events WHERE event_id%10=0 UNION ALL SELECT event_id, event_type, ts, 5, 2 FROM events WHERE event_id%5=0)
+SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS "rows", sum(val) total, max(ver) newest FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ver DESC)=1) GROUP BY 1,2""")
+def _(n):
+    """Readings, their corrections and repeated files arrive in one folder, old versions after new ones; the newest version stays."""
+    from flowspark.sources.ingest import VersionedTable
+
+    d = folder(n)
+    e = n.raw("events").select("event_id", "event_type", F.to_date("ts").alias("day"), F.round(F.col("value") * 100).cast("long").alias("val"), F.lit(1).cast("long").alias("ver"))
+    for k, part in enumerate((e.filter("event_id % 10 = 0").withColumn("val", F.lit(7).cast("long")).withColumn("ver", F.lit(3).cast("long")), e, e.filter("event_id % 5 = 0").withColumn("val", F.lit(5).cast("long")).withColumn("ver", F.lit(2).cast("long")), e.filter("event_id % 3 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(f"{d}/in") if k else part.coalesce(1).write.parquet(f"{d}/in")
+    table = VersionedTable(n.spark, f"{d}/table", "event_id long, event_type string, day date, val long, ver long", ["event_id"], newest="ver")
+    s = n.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    sm.upsert_stream(s, table, f"{d}/ck")
+    sm.upsert_stream(s, table, f"{d}/ck")  # nothing new: the table stays as it is
+    return table.read().groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("rows"), F.sum("val").alias("total"), F.max("ver").alias("newest"))
+
+
 @register("t5_stream_deduplicated", "event_type n:i", sql="SELECT event_type, count(*) n FROM events GROUP BY 1")
 def _(n):
     s = sm.read_stream(n.spark, n.sf_dir, sm.EVENT_SCHEMA, "events.parquet")

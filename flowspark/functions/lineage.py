@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder.
+def base_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local-mode
-    session without that setting (tests) gets a folder of its own.
+    Only a local-mode session without that setting (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="flowspark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="flowspark-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(base_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

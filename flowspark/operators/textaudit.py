@@ -12,85 +12,116 @@ MONTHS = (
     "januar februar märz juni juli oktober dezember enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
 ).split()
 UNITS = "% × x times fois mal veces kwh mwh wh km °c mm/h mm h min s".split()
-#: Separators of thousands inside a figure: no-break, thin and narrow no-break space (a plain space only before three digits after one to three).
+#: Words and signs that call a figure approximate.
+APPROXIMATE = ["about", "around", "roughly", "approximately", "approx", "nearly", "almost", "some", "environ", "presque", "quasi", "circa", "ca"]
+APPROXIMATE_TWO = ["près de", "autour de"]
+APPROXIMATE_SIGNS = ("~", "≈")
+#: Separators of thousands inside a figure: no-break, thin and narrow no-break space.
 THIN = "\u00a0\u2009\u202f"
-#: A token that keeps what it parts from being neighbours.
-APART = " \u25c6 "
-#: Passages whose digits state no figure: links, notes, ISO dates, ranges of minutes and the slot of 15 minutes.
-CLAIMED = (
-    r"https?://\S+", r"\[\^?\d+\]", r"\b\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}\S*)?\b",
-    r"(?i)\b\d{1,3}\s*[–-]\s*\d{1,3}\s*min\w*\b", r"(?i)\b15[\s-]?min\w*\b",
-)
-CLOCK = r"(?<![\d:])((?:[01]?\d|2[0-3]):[0-5]\d)(?!\d)(?!:\d)"
-#: Where a figure begins or ends inside a word: dashes, the hyphen after digits (of a range with a hyphen the first number counts,
-#: since the second one can't be told from a negative one), and signs before or after digits that belong to no number or unit.
-SEAMS = (
-    r"[–—]", r"(?<=\w)−(?=\d)", r"(?<=\d)-\d[\d_.,]*", r"(?<=\d)-(?=\D)", r"(?<=\d)(?=[^\w\s.,/:;!?%×°)\]\"»”-])",
-    r"(?<=[^\w\s./:,+−-])(?=[-+−]?\d)", r"(?<=[^\d\s],)(?=\d)",
-)
-
-
-def _tokens(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
-    """One row per token with its neighbours: (key, i, w, before, after, starts); code spans are no tokens."""
-    plain = F.regexp_replace(F.col(text_col), "`[^`]*`", " ")
-    for pattern in CLAIMED:
-        plain = F.regexp_replace(plain, pattern, APART)
-    plain = F.regexp_replace(plain, f"(?<=\\d)[{THIN}](?=\\d)", "_")
-    # a plain space between digit groups of a grouped figure holds it together
-    plain = F.regexp_replace(plain, r"(?<![\w.,:/-])(\d{1,3}) (?=\d{3}(?:[^\w]|$))", "$1_")
-    plain = F.regexp_replace(plain, CLOCK, f"{APART}$1{APART}")
-    for pattern in SEAMS:
-        plain = F.regexp_replace(plain, pattern, APART)
-    words = F.split(F.regexp_replace(plain, "\n", " \u23ce "), r"\s+")
-    rows = texts.select(*key, words.alias("_w")).select(*key, "_w", F.posexplode("_w").alias("i", "w")).where(F.col("w").rlike(r"\d"))
-    at = lambda d: F.coalesce(F.try_element_at("_w", F.col("i") + 1 + d), F.lit("")) if d > 0 else F.when(F.col("i") + d >= 0, F.get("_w", F.col("i") + d)).otherwise("")
-    return rows.select(*key, "i", "w", at(-1).alias("before"), at(1).alias("after"))
+#: Line ends as words of their own, and what stands for a code span.
+LINE_END, CODE = "\u23ce", "\u25c6"
+DASHES = ["-", "–", "—"]
+#: A figure at the beginning of a part of a word: signs that belong to no word, sign of the number, digits with separators, the rest.
+_FIGURE = rf"^([^\p{{L}}\p{{N}}/.:,+−-]*)([-+−]?)(\p{{Nd}}[\p{{Nd}}.,{THIN}]*)(.*)$"
+
+
+def _without_code(text: Column) -> Column:
+    """Text without the spans between backticks; a single backtick opens no span."""
+    parts = F.split(text, "`")
+    inside = lambda i: (i % 2 == 1) & (i < F.size(parts) - 1)
+    return F.when(text.contains("`"), F.array_join(F.transform(parts, lambda p, i: F.when(inside(i), F.lit(f" {CODE} ")).otherwise(p)), " ")).otherwise(text)
+
+
+def _digit_words(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """One row per word with a digit and the words next to it: (key, w, b2, b1, a1, a2, a3). Each text is split once."""
+    words = texts.select(*key, F.split(F.replace(_without_code(F.col(text_col)), F.lit("\n"), F.lit(f" {LINE_END} ")), r"\s+").alias("_w"))
+    at = F.filter(F.transform("_w", lambda w, i: F.when(w.rlike("[0-9]"), i)), lambda i: i.isNotNull())
+    word = lambda i, d: F.when(i + d >= 0, F.get("_w", i + d))
+    near = F.transform(at, lambda i: F.struct(word(i, 0).alias("w"), *[F.coalesce(word(i, d), F.lit("")).alias(n) for n, d in (("b2", -2), ("b1", -1), ("a1", 1), ("a2", 2), ("a3", 3))]))
+    return words.select(*key, F.explode(near).alias("n")).select(*key, "n.*")
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^[\"'(\[«“]+", ""), r"[\"')\]»”.,;:!?]+$", "")
+    """A word without quotes, brackets, emphasis and punctuation around it."""
+    return F.btrim(c, F.lit("\"'()[]«»“”.,;:!?*_"))
+
+
+def _number_between(c: Column, low: int, high: int) -> Column:
+    return F.coalesce(F.when(F.length(c) <= 4, c.try_cast("int")).between(low, high), F.lit(False))
 
 
-def _unclaimed(t: DataFrame) -> Column:
-    """Tokens whose digits state no figure: links, ISO dates, line names, years, list numbers, notes and days of a month."""
-    w, low = F.col("w"), lambda c: F.lower(_bare(F.col(c)))
-    bare = _bare(w)
-    month = lambda c: low(c).isin(MONTHS)
-    listed = w.rlike(r"^\d+[.)]$") & F.col("before").isin("", "\u23ce", "#", "##", "###")
-    slot = (bare == "15") & (low("after").startswith("min") | (low("before") == "per"))
-    day = bare.rlike(r"^\d{1,2}(st|nd|rd|th|er|e|\.)?$") & (month("after") | month("before"))
-    return (
-        w.contains("://") | bare.rlike(r"^\d{4}-\d{2}-\d{2}") | bare.rlike(r"^[US]\d{1,2}$") | bare.rlike(r"^(19|20)\d{2}$") | listed
-        | w.rlike(r"^\[\^?\d+\]") | slot | (bare == "24/7") | day
-    )
+def _is_date(word: Column) -> Column:
+    """Year, month and day joined by hyphens, with or without a time behind."""
+    p = F.split(_bare(word), "-")
+    return (F.size(p) == 3) & _number_between(p[0], 1000, 9999) & (F.length(p[1]) == 2) & _number_between(F.get(p, F.lit(1)), 1, 12) & _number_between(F.substring(F.get(p, F.lit(2)), 1, 2), 1, 31)
+
+
+def _skipped(t: DataFrame) -> Column:
+    """Words whose digits state no figure: links, notes, dates and the times behind them, names of lines, list numbers, days of a month."""
+    w, bare = F.col("w"), _bare(F.col("w"))
+    month = lambda c: F.lower(_bare(F.col(c))).isin(MONTHS)
+    line = F.substring(bare, 1, 1).isin("U", "S") & _number_between(F.substring(bare, 2, 9), 0, 99)
+    digits = F.rtrim(bare, F.lit("stndrhe."))
+    day = (F.length(digits) <= 2) & digits.try_cast("int").isNotNull() & (month("a1") | month("b1"))
+    number = F.rtrim(w, F.lit(".)"))
+    listed = (F.length(w) == F.length(number) + 1) & number.try_cast("long").isNotNull() & F.col("b1").isin("", LINE_END, "#", "##", "###")
+    note = (w.startswith("[") & F.ltrim(w, F.lit("[^")).substr(1, 1).between("0", "9") & w.contains("]"))
+    return w.contains("://") | note | _is_date(w) | (_is_date(F.col("b1")) & w.contains(":")) | line | (bare == "24/7") | listed | day
+
+
+def _figure_parts(t: DataFrame, key: list[str]) -> DataFrame:
+    """Words cut at dashes, and at hyphens behind a digit: (key, part, first, of_minutes, ...).
+
+    Of numbers joined by a hyphen the first one counts, since the second can't be told from a negative number; a range of minutes counts as none.
+    """
+    pieces = F.flatten(F.transform(F.split("w", "[–—]"), lambda s: F.transform(F.split(s, "(?<=[0-9])-"), lambda p, i: F.struct(p.alias("p"), (i == 0).alias("first")))))
+    minutes = lambda c: F.lower(c).startswith("min")
+    digit = lambda c: c.rlike("^[^\\p{L}]*[0-9]")
+    x = t.withColumn("_p", pieces)
+    last = F.element_at("_p", -1)["p"]
+    several = F.size(F.filter("_p", lambda p: digit(p["p"]))) > 1
+    own = several & (minutes(F.col("a1")) | minutes(F.ltrim(last, F.lit("0123456789 "))))
+    apart = (F.col("a1").isin(DASHES) & digit(F.col("a2")) & minutes(F.col("a3"))) | (F.col("b1").isin(DASHES) & digit(F.col("b2")) & minutes(F.col("a1")))
+    slot = (_bare(F.element_at("_p", 1)["p"]) == "15") & (minutes(F.coalesce(F.get("_p", F.lit(1))["p"], F.lit(""))) | minutes(F.col("a1")) | (F.lower("b1") == "per"))
+    glued_slot = F.lower(F.col("w")).startswith("15min")
+    x = x.where(~(own | apart | slot | glued_slot))
+    two = F.concat_ws(" ", F.lower("b2"), F.lower("b1"))
+    near = F.lower(_bare(F.col("b1"))).isin(APPROXIMATE) | two.isin(APPROXIMATE_TWO) | F.rtrim(F.col("b1"), F.lit("*")).isin(*APPROXIMATE_SIGNS) | F.substring(F.ltrim("w", F.lit("*(")), 1, 1).isin(*APPROXIMATE_SIGNS)
+    return x.select(*key, "w", "a1", near.alias("near"), F.explode("_p").alias("_x")).select(*key, "w", "a1", "near", F.col("_x.p").alias("part"), F.col("_x.first").alias("first"))
 
 
 def figures(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """Figures of whole texts: (key, kind time|number, raw, value, unit, decimals, tol).
 
-    Bare counts up to ten carry no claim and are left out.
+    Bare counts up to ten carry no claim and are left out. A round or an approximate figure from 100 on has a tolerance of 1.2 %, a smaller
+    approximate one twice that of its last digit.
     """
-    t = _tokens(texts, key, text_col)
-    t = t.where(~_unclaimed(t)).withColumn("bare", _bare(F.col("w")))
-    clock = F.col("bare").rlike(r"^([01]?\d|2[0-3]):[0-5]\d$")
-    times = t.where(clock).select(*key, F.lit("time").alias("kind"), F.col("bare").alias("raw"))
-    # sign, digits with separators, and what is glued to them
-    parts = lambda i: F.regexp_extract("bare", r"^([-+−]?)(\d[\d_,.]*)(\D*)$", i)
-    glued, own = F.lower(parts(3)), F.lower(_bare(F.col("after")))
-    unit = F.when(glued != "", glued).when(~F.col("w").rlike(r"[.,;:!?)]$") & own.isin(UNITS), own).otherwise("")
-    nums = t.where(~clock & (parts(2) != "") & ((glued == "") | glued.isin(UNITS)))
-    nums = nums.select(*key, F.lit("number").alias("kind"), F.trim(F.concat_ws(" ", F.regexp_replace(F.concat(parts(1), parts(2)), "_", " "), F.nullif(unit, F.lit("")))).alias("raw"), unit.alias("unit"), parts(1).alias("_sign"), parts(2).alias("_digits"))
-    digits = F.regexp_replace(F.regexp_replace(F.col("_digits"), "_", ""), r",(?=\d{3}(?:\D|$))", "")
-    n = F.concat(F.when(F.col("_sign") == "", "").otherwise(F.when(F.col("_sign") == "+", "").otherwise("-")), F.regexp_replace(digits, ",", "."))
-    dec = F.length(F.regexp_extract(n, r"\.(\d+)$", 1))
-    nums = nums.withColumn("value", n.try_cast("double")).withColumn("decimals", dec).filter("value IS NOT NULL").drop("_sign", "_digits")
-    nums = nums.filter(~((F.col("decimals") == 0) & (F.col("unit") == "") & (F.abs("value") <= 10)))
-    tol = 0.5 * F.pow(F.lit(10.0), -F.col("decimals"))
-    rounded = (F.col("decimals") == 0) & (F.abs("value") >= 100) & (F.abs("value") % 10 == 0)
-    nums = nums.withColumn("tol", F.when(rounded, F.greatest(tol, 0.012 * F.abs("value"))).otherwise(tol))
-    times = times.withColumn("value", F.split("raw", ":")[0].cast("double") * 60 + F.split("raw", ":")[1].cast("double"))
-    times = times.withColumn("unit", F.lit("hh:mm")).withColumn("decimals", F.lit(0)).withColumn("tol", F.lit(0.0))
-    return nums.unionByName(times)
+    t = _digit_words(texts, key, text_col)
+    t = _figure_parts(t.where(~_skipped(t)), key)
+    halves = F.split("part", ":")
+    hour, minute = F.regexp_extract(halves[0], "([0-9]+)$", 1), F.regexp_extract(F.get(halves, F.lit(1)), "^([0-9]+)", 1)
+    clock = (F.size(halves) == 2) & (F.length(minute) == 2) & _number_between(hour, 0, 23) & _number_between(minute, 0, 59) & (F.length(hour) <= 2)
+    times = t.where(clock).select(*key, F.lit("time").alias("kind"), F.concat_ws(":", hour, minute).alias("raw"), (hour.cast("double") * 60 + minute.cast("double")).alias("value"))
+    group = lambda i: F.regexp_extract("part", _FIGURE, i)
+    n = t.where(~F.coalesce(clock, F.lit(False)) & F.col("first")).select("*", group(2).alias("_s"), F.rtrim(group(3), F.lit(".,")).alias("_d"), _bare(F.lower(group(4))).alias("_t"), group(4).alias("_end"))
+    n = n.where(F.col("_d") != "")
+    glued = F.when(F.col("_t").rlike(r"[\p{L}\p{N}/:%×°]"), F.col("_t")).otherwise("")
+    own = F.lower(_bare(F.col("a1")))
+    closed = F.col("_end").rlike("[.,;:!?)]$") | F.col("w").rlike("[.,;:!?)]$")
+    unit = F.when(glued != "", glued).when(~closed & own.isin(UNITS), own).otherwise("")
+    n = n.where((glued == "") | glued.isin(UNITS))
+    n = n.where(~((F.col("_s") == "") & (unit == "") & (F.length("_d") == 4) & _number_between(F.col("_d"), 1900, 2099)))
+    plain = F.regexp_replace(F.translate("_d", THIN, ""), r",(?=\d{3}(?:\D|$))", "")
+    value = F.concat(F.when(F.col("_s").isin("", "+"), "").otherwise("-"), F.replace(plain, F.lit(","), F.lit(".")))
+    shown = F.trim(F.concat_ws(" ", F.concat("_s", F.translate("_d", THIN, "   ")), F.nullif(unit, F.lit(""))))
+    n = n.select(*key, F.lit("number").alias("kind"), shown.alias("raw"), unit.alias("unit"), "near", value.alias("_v"))
+    n = n.select("*", F.col("_v").try_cast("double").alias("value"), F.length(F.regexp_extract("_v", r"\.(\d+)$", 1)).alias("decimals")).filter("value IS NOT NULL")
+    n = n.filter(~((F.col("decimals") == 0) & (F.col("unit") == "") & (F.abs("value") <= 10)))
+    tol, large = 0.5 * F.pow(F.lit(10.0), -F.col("decimals")), (F.col("decimals") == 0) & (F.abs("value") >= 100)
+    rounded = large & ((F.abs("value") % 10 == 0) | F.col("near"))
+    n = n.withColumn("tol", F.when(rounded, F.greatest(tol, 0.012 * F.abs("value"))).when(F.col("near"), 2 * tol).otherwise(tol))
+    times = times.withColumns({"unit": F.lit("hh:mm"), "decimals": F.lit(0), "tol": F.lit(0.0)})
+    return n.drop("near", "_v").unionByName(times)
 
 
 def sentences(texts: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:

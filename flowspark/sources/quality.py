@@ -55,6 +55,49 @@ def validate_readings(rows: DataFrame, stations: DataFrame, clock: Clock = DEFAU
     return g.select("file", F.explode(arr).alias("x")).select("file", "x.*").filter("n > 0")
 
 
+def rule_counts(rows: DataFrame, rules: dict[str, tuple[str, object, object]], by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(file, rule, severity, n, sample) of the rules {name: (severity, condition, sample)} that some row breaks, in one pass."""
+    n = {k: F.struct(F.count_if(F.coalesce(c, F.lit(False))).alias("n"), F.min(F.when(c, sample.cast("string"))).alias("sample")).alias(k) for k, (_, c, sample) in rules.items()}
+    g = rows.groupBy(*by).agg(*n.values())
+    arr = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(v[0]).alias("severity"), F.col(f"`{k}`.n").alias("n"), F.col(f"`{k}`.sample").alias("sample")) for k, v in rules.items()])
+    return g.select(*by, F.explode(arr).alias("x")).select(*by, "x.*").filter("n > 0")
+
+
+def validate_weather(rows: DataFrame, clock: Clock = DEFAULT_CLOCK) -> DataFrame:
+    """Rules for raw weather rows (file, ts, temp, prcp as text): a bad time is an error, a missing value or an odd time a warning."""
+    r = rows.withColumn("_t", F.try_to_timestamp("ts").cast("timestamp_ntz"))
+    number = lambda c: F.col(c).try_cast("double")
+    return rule_counts(r, {
+        "unparsable timestamp": ("error", F.col("_t").isNull(), F.coalesce("ts", F.lit(""))), "off grid": ("warning", t.slot_floor("_t", clock) != F.col("_t"), F.col("ts")),
+        "no temperature": ("warning", number("temp").isNull(), F.col("ts")), "no precipitation": ("warning", number("prcp").isNull(), F.col("ts")),
+        "negative precipitation": ("error", number("prcp") < 0, F.col("ts")),
+    })
+
+
+def validate_energy(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rules for raw energy rows (file, day, line, value as text) against the known lines (line)."""
+    known = lines.select("line", F.lit(True).alias("_k")).distinct()
+    r = rows.join(known, "line", "left").withColumn("_v", F.col("value").try_cast("double"))
+    return rule_counts(r, {
+        "unparsable date": ("error", F.try_to_timestamp("day").isNull(), F.coalesce("day", F.lit(""))), "unknown line": ("error", F.col("_k").isNull(), F.col("line")),
+        "empty or non-numeric": ("warning", F.col("_v").isNull(), F.coalesce("value", F.lit(""))), "negative": ("warning", F.col("_v") < 0, F.col("value")),
+    })
+
+
+def validate_closure_rows(rows: DataFrame, stations: DataFrame, line_stops: DataFrame) -> DataFrame:
+    """Rules for raw closure rows (file, when, duration, description): bad times and durations are errors, texts that are not understood warnings."""
+    from flowspark.functions import text as tx
+    from flowspark.operators.closures import parse_closures
+
+    r = rows.withColumn("closure_id", F.monotonically_increasing_id())
+    r = parse_closures(r, stations, line_stops)
+    length = tx.duration_minutes("duration")
+    return rule_counts(r, {
+        "unparsable start": ("error", F.try_to_timestamp("when").isNull(), F.coalesce("when", F.lit(""))), "unparsable duration": ("error", F.coalesce(length, F.lit(0)) <= 0, F.coalesce("duration", F.lit(""))),
+        "not understood": ("warning", (F.col("kind") == "unknown") | (F.size("issues") > 0), F.col("description")),
+    })
+
+
 def validate_events(events: DataFrame, venues: DataFrame, max_attendance: int = 5000) -> DataFrame:
     """Warnings for crowd events: venue not located, implausible attendance, end before start."""
     e = events.join(venues.select("venue_key", F.lit(True).alias("_v")), "venue_key", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flowspark.functions import text as tx
 from flowspark.functions import time as t
+from flowspark.sources import folders
 
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
     "event_name", "began_local", "estimated_end_local", "venue_name", "address", "city", "country", "segment", "genre",
@@ -20,41 +21,40 @@ TIMETABLE_SCHEMA = (
 )
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Separator and encoding from the first line of a file (or of any file of a group)."""
-    first = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring("content", 1, 65536).alias("c")).first()
-    raw = bytes(first["c"]).split(b"\n")[0] if first else b""
-    try:
-        line, enc = raw.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        line, enc = raw.decode("cp1252", errors="replace"), "windows-1252"
-    counts = {d: line.count(d) for d in (",", ";", "\t")}
-    sep = max(counts, key=counts.get)
-    return (sep if counts[sep] else ","), enc
-
-
-def read_csv_any(spark: SparkSession, path: str, schema=None, header: bool = True, glob: str | None = None) -> DataFrame:
-    """Tolerant CSV scan: separator, encoding, BOM, garbled names and cells, mis-quoted lines.
+def read_csv_any(spark: SparkSession, path: str, schema=None, header: bool | str = True, glob: str | None = None) -> DataFrame:
+    """Tolerant CSV scan of a file or a folder with files of several dialects: separator, encoding, BOM, garbled names and cells, mis-quoted lines.
 
-    Columns stay strings (semicolon files use a decimal comma, see ``number``). ``source_file`` and
-    ``source_rank`` (file time) order overlapping files.
+    ``header`` is true or false for all files, or a column name that tells files with a header line from files without; the latter
+    need a ``schema``. Columns stay strings, a decimal comma of semicolon files becomes a point. ``source_file`` and ``source_rank``
+    (file time) order overlapping files; a column that a file lacks is null in its rows.
     """
-    sep, enc = sniff(spark, path)
-    windows = enc == "windows-1252"
-    r = spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if windows else enc).option("header", header).option("recursiveFileLookup", "true")
-    r = r.option("mode", "PERMISSIVE")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if schema is not None:
+    if header is not True and schema is None:
+        raise ValueError("files without a header line need a schema")
+    groups = folders.dialects(spark, path, glob, header if isinstance(header, str) else None)
+    parts = [_read_dialect(spark, d, schema, d.header if isinstance(header, str) else header) for d in groups]
+    if not parts:
+        names = schema.fieldNames() if schema is not None else []
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in [*names, "source_file"]] + [T.StructField("source_rank", T.TimestampType())]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    lacking = [c for c in schema.fieldNames() if c not in out.columns] if schema is not None else []
+    return out.withColumns({c: F.lit(None).cast("string") for c in lacking})
+
+
+def _read_dialect(spark: SparkSession, d: folders.Dialect, schema, header: bool) -> DataFrame:
+    windows = d.encoding != "UTF-8"
+    r = spark.read.option("sep", d.sep).option("encoding", "ISO-8859-1" if windows else d.encoding).option("header", header).option("mode", "PERMISSIVE")
+    if schema is not None and not header:
         r = r.schema(schema)
-    df = r.csv(path)
+    df = r.csv(list(d.files))
     cols = df.columns
     src = df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("source_rank"))
     names = [_clean_header(c) for c in cols]
-    src = src.toDF(*names, "source_file", "source_rank")
-    src = rescue_rows(src, names, sep)
+    src = rescue_rows(src.toDF(*names, "source_file", "source_rank"), names, d.sep)
     cell = lambda c: tx.from_latin(F.col(f"`{c}`")) if windows else F.col(f"`{c}`")
-    return src.select(*[tx.repair(F.trim(cell(c))).alias(c) for c in names], "source_file", "source_rank")
+    point = lambda c: F.regexp_replace(c, r"^([+-]?\d+),(\d+)$", "$1.$2") if d.decimal_comma else c
+    return src.select(*[point(tx.repair(F.trim(cell(c)))).alias(c) for c in names], "source_file", "source_rank")
 
 
 def _clean_header(c: str) -> str:
@@ -70,14 +70,15 @@ def rescue_rows(df: DataFrame, cols: list[str], sep: str) -> DataFrame:
     if len(cols) < 3:
         return df
     q = lambda c: F.col(f"`{c}`")
-    first = F.trim(F.regexp_replace(F.regexp_replace(q(cols[0]), "\t", " "), '^"|"$', ""))
-    parts = F.split(first, f"\\{sep}" if sep != "\t" else "\t")
-    empty = F.lit(True)
-    for c in cols[1:]:
-        empty = empty & q(c).isNull()
-    bad = empty & (F.size(parts) == len(cols))
-    out = [F.when(bad, F.nullif(F.trim(F.regexp_replace(F.get(parts, F.lit(i)), '^"|"$', "")), F.lit(""))).otherwise(q(c)).alias(c) for i, c in enumerate(cols)]
-    return df.select(*out, *[c for c in df.columns if c not in cols])
+    one = q(cols[0]) if sep == "\t" else F.translate(q(cols[0]), "\t", " ")
+    first = F.trim(F.regexp_replace(one, '^"|"$', ""))
+    alone = F.coalesce(*[q(c) for c in cols[1:]]).isNull()
+    parts = F.when(alone & first.contains(sep), F.split(first, f"\\{sep}" if sep != "\t" else "\t"))
+    df = df.withColumn("_parts", F.filter(F.array(parts), lambda p: F.size(p) == len(cols)))  # the fields of a line that its first field holds
+    whole = F.size("_parts") > 0
+    field = lambda i: F.nullif(F.trim(F.regexp_replace(F.col("_parts")[0][i], '^"|"$', "")), F.lit(""))
+    out = [F.when(whole, field(i)).otherwise(q(c)).alias(c) for i, c in enumerate(cols)]
+    return df.select(*out, *[c for c in df.columns if c not in (*cols, "_parts")])
 
 
 def number(c, decimal_comma: bool = False):
@@ -111,7 +112,7 @@ def wide_to_long(df: DataFrame, ts_col: str, names: DataFrame, value: str = "rea
 
 def read_events(spark: SparkSession, path: str, zone: str = "Europe/Berlin") -> DataFrame:
     """Crowd events; files may lack a header row. Offsets are converted to local naive time."""
-    df = read_csv_any(spark, path, EVENT_SCHEMA, header=False).filter(F.coalesce(F.col("event_name"), F.lit("")) != "event_name")
+    df = read_csv_any(spark, path, EVENT_SCHEMA, header="event_name")
     local = lambda c: F.from_utc_timestamp(F.to_utc_timestamp(F.try_to_timestamp(c), F.current_timezone()), zone).cast("timestamp_ntz")
     start, end = local(F.col("began_local")), local(F.col("estimated_end_local"))
     hours = F.when(F.col("segment") == "Music", 180).otherwise(120)
@@ -156,6 +157,52 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def unique_or_fail(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` if its key is present and unique; else its first use ends with an error that names the table."""
+    n = df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).agg(F.count(F.lit(1))).scalar()
+    return df.withColumn(key, F.when(n > 0, F.raise_error(F.lit(f"{what}: {key} must be unique and present")).cast("string")).otherwise(F.col(key)))
+
+
+def read_connections(spark: SparkSession, path: str) -> DataFrame:
+    """Undirected connections between stations (a, b), each once, with the smaller id first; loops are dropped."""
+    df = read_csv_any(spark, path).select(F.trim("station_id_1").alias("x"), F.trim("station_id_2").alias("y")).filter("x <> y")
+    return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (line_id, line_name) with unique ids (enforced)."""
+    return unique_or_fail(read_csv_any(spark, path).select(F.trim("line_id").alias("line_id"), F.trim("line_name").alias("line_name")), "line_id", "lines")
+
+
+def network_edges(stations: DataFrame, connections: DataFrame) -> DataFrame:
+    """Edges of the network (a, b, transfer): the connections, and one between stations of equal name that have none."""
+    named = stations.select(F.col("station_id").alias("id"), "name")
+    pairs = named.select(F.col("id").alias("a"), "name").join(named.select(F.col("id").alias("b"), "name"), "name").filter("a < b").select("a", "b")
+    same = pairs.join(connections, ["a", "b"], "left_anti").select("a", "b", F.lit(True).alias("transfer"))
+    return connections.select("a", "b", F.lit(False).alias("transfer")).unionByName(same)
+
+
+def read_timetable(spark: SparkSession, path: str) -> DataFrame:
+    """Stops of representative trips with typed columns and seconds since the day's start; rows without trip or place in it are dropped."""
+    df = read_csv_any(spark, path)
+    types = [part.split() for part in TIMETABLE_SCHEMA.split(", ")]
+    typed = df.select(*[(F.col(c).try_cast(k) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in types])
+    return typed.filter("trip_id IS NOT NULL AND stop_sequence IS NOT NULL").withColumn("seconds", tx.timetable_seconds("departure_time"))
+
+
+def locate_events(events: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Events with the venue_key of the longest gazetteer name in their address and venue name; null where none occurs.
+
+    ``gazetteer`` holds (alias, venue_key) with folded names; each distinct place is looked up once.
+    """
+    from flowspark.operators.joins import longest_mention
+
+    place = F.concat_ws(" ", "address", "venue_name")
+    places = events.select(place.alias("place")).distinct()
+    hit = longest_mention(places, gazetteer, "place", "place").join(gazetteer.dropDuplicates(["alias"]), "alias").select("place", "venue_key")
+    return events.withColumn("place", place).join(hit, "place", "left").drop("place")
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON-lines log; malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

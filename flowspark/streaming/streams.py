@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, Clock
-from flowspark.functions import time as t
+from flowspark.sources.ingest import VersionedTable
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -49,39 +49,106 @@ def without_duplicates(stream: DataFrame, key: list[str], ts: str = "ts", delay:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-ALERT_SCHEMA = "rule string, station_key string, slot timestamp"
-STATE_SCHEMA = "last long, run95 int, run99 int, f1 long, f2 long, f3 long"
+def expected_hours(cells: DataFrame, clock: Clock = DEFAULT_CLOCK) -> DataFrame:
+    """Static side of the live check: (station_key, slot, hour_expected, hour_var) of every full hour of a service day.
+
+    ``cells`` needs station_key, slot, day, tod and expected.
+    """
+    w = Window.partitionBy("station_key", "day").orderBy("tod").rowsBetween(1 - clock.slots_per_hour, 0)
+    h = cells.select("station_key", "slot", F.sum("expected").over(w).alias("hour_expected"), F.sum(F.col("expected") * F.col("expected")).over(w).alias("hour_var"),
+                     F.count(F.lit(1)).over(w).alias("_n"), (F.col("tod") - F.min("tod").over(w)).alias("_span"))
+    return h.filter((F.col("_n") == clock.slots_per_hour) & (F.col("_span") == clock.slots_per_hour - 1)).drop("_n", "_span")
 
 
-def alert_state(cells: DataFrame, gap: int = 4, slots_per_day: int = 80) -> DataFrame:
-    """Rules R1-R3 per station with re-arm after ``gap`` quiet slots.
+def against_expected(hours: DataFrame, expected: DataFrame, limit: float = 3.0) -> DataFrame:
+    """Streamed hour totals joined with the static expectation: z of each full hour and whether it is above ``limit``.
 
-    ``cells`` streams (station_key, slot timestamp, op long, reading, q95, q99) in slot order. The
-    state of a station is its last slot, two run lengths and the last firing of each rule.
+    The static side is planned anew with every micro-batch, so a corrected model table takes effect with the next one.
     """
+    e = expected.withColumn("slot", F.col("slot").cast("timestamp"))
+    z = (F.col("hour_total") - F.col("hour_expected")) / F.sqrt(F.greatest("hour_var", F.lit(1.0)))
+    return hours.join(e, ["station_key", "slot"]).select("station_key", "slot", "hour_total", "hour_expected", z.alias("z"), (z > limit).alias("above"))
+
+
+ALERT_SCHEMA = "rule string, station_key string, ms long"
+MEMORY_SCHEMA = "last long, run95 int, run99 int, f1 long, f2 long, f3 long"
+PENDING_SCHEMA = "ms long, reading long, q95 double, q99 double"
+_FAR = -(10**9)
+
 
-    def step(key, batches, state):
-        import pandas as pd
-
-        last, r95, r99, *fired = state.get if state.exists else (-10, 0, 0, -(10**9), -(10**9), -(10**9))
-        out = []
-        frames = [b for b in batches]
-        rows = pd.concat(frames).sort_values("op") if frames else pd.DataFrame()
-        for row in rows.itertuples():
-            # The night separates days although operating slots are numbered through.
-            joined = row.op == last + 1 and row.op % slots_per_day != 0
-            r95 = (r95 if joined else 0) + 1 if row.reading > row.q95 else 0
-            r99 = (r99 if joined else 0) + 1 if row.reading > row.q99 else 0
-            last = int(row.op)
-            for i, hit in enumerate((r95 >= 2, r95 >= 3, r99 >= 2)):
-                if hit:
-                    if last - fired[i] > gap:
-                        out.append((f"R{i + 1}", key[0], row.slot))
-                    fired[i] = last
-        state.update((last, r95, r99, *fired))
-        yield pd.DataFrame(out, columns=["rule", "station_key", "slot"])
-
-    return cells.groupBy("station_key").applyInPandasWithState(step, ALERT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+def alert_steps(memory: tuple, rows, gap: int = 4, slots_per_day: int = 80) -> tuple[tuple, list[tuple]]:
+    """Rules R1-R3 over rows (op, slot, reading, q95, q99) of one station in order of ``op``: new memory and firings (rule, slot).
+
+    The memory is the last slot, the lengths of the two runs, and when each rule last held; a rule fires again after ``gap`` quiet slots.
+    """
+    last, r95, r99, *held = memory
+    out = []
+    for op, slot, reading, q95, q99 in rows:
+        if op <= last:
+            continue  # an earlier copy of the slot has been judged
+        joined = op == last + 1 and op % slots_per_day != 0  # the night separates days although slots are numbered through
+        r95 = (r95 if joined else 0) + 1 if reading > q95 else 0
+        r99 = (r99 if joined else 0) + 1 if reading > q99 else 0
+        last = op
+        for i, hit in enumerate((r95 >= 2, r95 >= 3, r99 >= 2)):
+            if hit:
+                if op - held[i] > gap:
+                    out.append((f"R{i + 1}", slot))
+                held[i] = op
+    return (last, r95, r99, *held), out
+
+
+def _alert_processor(gap: int, slots_per_day: int):
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Alerts(StatefulProcessor):
+        """Rows wait in state until the watermark has passed them; then they are judged in event time, however they arrived."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.pending = handle.getMapState("pending", "op long", PENDING_SCHEMA)
+            self.memory = handle.getValueState("memory", MEMORY_SCHEMA)
+
+        def handleInputRows(self, key, rows, timerValues):
+            for frame in rows:
+                for r in frame.itertuples():
+                    self.pending.updateValue((int(r.op),), (int(r.ms), int(r.reading), float(r.q95), float(r.q99)))
+                    self.handle.registerTimer(int(r.ms))
+            yield self.judge(key, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield self.judge(key, timerValues)
+
+        def judge(self, key, timerValues):
+            mark = timerValues.getCurrentWatermarkInMs()
+            due = sorted((k[0], *v) for k, v in self.pending.iterator() if v[0] <= mark)
+            out = []
+            if due:
+                memory = self.memory.get() if self.memory.exists() else (-10, 0, 0, _FAR, _FAR, _FAR)
+                memory, fired = alert_steps(tuple(memory), due, gap, slots_per_day)
+                self.memory.update(memory)
+                for row in due:
+                    self.pending.removeKey((row[0],))
+                out = [(rule, key[0], ms) for rule, ms in fired]
+            return pd.DataFrame({"rule": pd.Series([r[0] for r in out], dtype=object), "station_key": pd.Series([r[1] for r in out], dtype=object), "ms": pd.Series([r[2] for r in out], dtype="int64")})
+
+        def close(self) -> None:
+            pass
+
+    return Alerts()
+
+
+def alert_state(cells: DataFrame, delay: str = "1 day", gap: int = 4, slots_per_day: int = 80) -> DataFrame:
+    """Rules R1-R3 per station with re-arm after ``gap`` quiet slots, in event time.
+
+    ``cells`` streams (station_key, slot timestamp, op long, reading, q95, q99) in any order within ``delay``; a row later than that is
+    dropped. The state of a station is what waits for the watermark (at most ``delay`` of rows), its last slot, two run lengths and the
+    last firing of each rule. The state lives in RocksDB, which the session must name as its state store.
+    """
+    c = cells.withWatermark("slot", delay).withColumn("ms", F.unix_millis("slot"))
+    fired = c.groupBy("station_key").transformWithStateInPandas(_alert_processor(gap, slots_per_day), ALERT_SCHEMA, "Append", "EventTime")
+    return fired.select("rule", "station_key", F.timestamp_millis("ms").alias("slot"))
 
 
 def run_to_table(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -92,16 +159,26 @@ def run_to_table(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def upsert_latest(df: DataFrame, target: str, keys: list[str], version: str, folder: str) -> None:
-    """Corrections: append every micro-batch; readers keep the newest version per key."""
+def use_rocksdb(spark: SparkSession) -> None:
+    """State store that custom state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(target)
 
-    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
+def upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, once: bool = True):
+    """Merge a stream of versioned rows into a table, exactly once per micro-batch.
 
+    A micro-batch becomes one batch of the table, named by its number; one that the table already holds (a replay after a failure between the
+    table's commit and the stream's) is skipped. Which row of a key counts follows from the table's ``newest`` column, not from the order of arrival.
+    """
 
-def latest(spark: SparkSession, target: str, keys: list[str], version: str) -> DataFrame:
-    from flowspark.sources.tables import last_wins
-
-    return last_wins(spark.read.parquet(target), keys, [F.col(version).desc(), F.col("epoch").desc()])
+    def merge(batch: DataFrame, epoch: int) -> None:
+        seen, tag = table.version(), f"epoch{epoch:012d}"
+        if any(b.endswith(tag) for b in seen.batches) or batch.isEmpty():
+            return
+        table.commit(seen, (*seen.batches, table.stage(batch, seen.number + 1, tag)))
+
+    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if once else w).start()
+    if once:
+        q.awaitTermination()
+    return q
