@@ -72,7 +72,7 @@ def against_expected(hours: DataFrame, expected: DataFrame, limit: float = 3.0)
 
 ALERT_SCHEMA = "rule string, station_key string, ms long"
 MEMORY_SCHEMA = "last long, run95 int, run99 int, f1 long, f2 long, f3 long"
-PENDING_SCHEMA = "ms long, reading long, q95 double, q99 double"
+PENDING_SCHEMA = "op array<long>, ms array<long>, reading array<long>, q95 array<double>, q99 array<double>"
 _FAR = -(10**9)
 
 
@@ -85,7 +85,7 @@ def alert_steps(memory: tuple, rows, gap: int = 4, slots_per_day: int = 80) -> t
     out = []
     for op, slot, reading, q95, q99 in rows:
         if op <= last:
-            continue  # an earlier copy of the slot has been judged
+            continue  # the slot has been judged
         joined = op == last + 1 and op % slots_per_day != 0  # the night separates days although slots are numbered through
         r95 = (r95 if joined else 0) + 1 if reading > q95 else 0
         r99 = (r99 if joined else 0) + 1 if reading > q99 else 0
@@ -107,30 +107,31 @@ def _alert_processor(gap: int, slots_per_day: int):
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.pending = handle.getMapState("pending", "op long", PENDING_SCHEMA)
+            self.pending = handle.getValueState("pending", PENDING_SCHEMA)
             self.memory = handle.getValueState("memory", MEMORY_SCHEMA)
 
         def handleInputRows(self, key, rows, timerValues):
-            for frame in rows:
-                for r in frame.itertuples():
-                    self.pending.updateValue((int(r.op),), (int(r.ms), int(r.reading), float(r.q95), float(r.q99)))
-                    self.handle.registerTimer(int(r.ms))
-            yield self.judge(key, timerValues)
+            new = [r for frame in rows for r in zip(*[frame[c].tolist() for c in ("op", "ms", "reading", "q95", "q99")])]
+            yield self.judge(key, new, timerValues)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            yield self.judge(key, timerValues)
+            yield self.judge(key, [], timerValues)
 
-        def judge(self, key, timerValues):
+        def judge(self, key, new, timerValues):
+            """One read and one write of the state per call: what waits is kept as columns, not row by row."""
             mark = timerValues.getCurrentWatermarkInMs()
-            due = sorted((k[0], *v) for k, v in self.pending.iterator() if v[0] <= mark)
+            waiting = sorted({r[0]: r for r in [*zip(*self.pending.get()), *new]}.values()) if self.pending.exists() else sorted({r[0]: r for r in new}.values())
+            due, later = [r for r in waiting if r[1] <= mark], [r for r in waiting if r[1] > mark]
             out = []
             if due:
                 memory = self.memory.get() if self.memory.exists() else (-10, 0, 0, _FAR, _FAR, _FAR)
                 memory, fired = alert_steps(tuple(memory), due, gap, slots_per_day)
                 self.memory.update(memory)
-                for row in due:
-                    self.pending.removeKey((row[0],))
                 out = [(rule, key[0], ms) for rule, ms in fired]
+            if due or new:
+                self.pending.update(tuple(list(c) for c in zip(*later)) if later else ([], [], [], [], []))
+            if later:
+                self.handle.registerTimer(later[0][1])
             return pd.DataFrame({"rule": pd.Series([r[0] for r in out], dtype=object), "station_key": pd.Series([r[1] for r in out], dtype=object), "ms": pd.Series([r[2] for r in out], dtype="int64")})
 
         def close(self) -> None:
