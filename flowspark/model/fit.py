@@ -194,14 +194,14 @@ def departure_excess(cells: DataFrame, events: DataFrame, venues: DataFrame, sta
     )
 
 
-def learn_by_excess(excess: DataFrame, min_z=6.0, keep_z=3.0, min_slots=2, capped_mle=0.15) -> DataFrame:
-    """Shares from departure excess where it is clear and readings are rarely at the ceiling."""
+def learn_by_excess(excess: DataFrame, min_z=6.0, keep_z=3.0, min_slots=2, capped_mle=0.15, ratio=(0.25, 1.0)) -> DataFrame:
+    """Shares from departure excess where it is clear, a plausible part of the crowd, and readings are rarely at the ceiling."""
     v = Window.partitionBy("venue_key")
     x = excess.withColumn("max_z", F.max("z").over(v)).withColumn("capped_share", F.sum("capped").over(v) / F.sum("n").over(v))
     x = x.filter((F.col("shows") >= min_slots) & (F.col("attendance") > 0) & (F.col("capped_share") <= capped_mle))
     x = x.filter((F.col("z") >= keep_z) & (F.col("excess") > 0))
     x = x.withColumn("tot", F.sum("excess").over(v)).withColumn("ratio", F.col("tot") / F.greatest(F.max("attendance").over(v), F.lit(1)))
-    x = x.filter((F.col("max_z") >= min_z) & F.col("ratio").between(0.25, 1.0))
+    x = x.filter((F.col("max_z") >= min_z) & F.col("ratio").between(*ratio))
     return x.select("venue_key", "station_key", (F.col("excess") / F.col("tot")).alias("share"), F.lit("excess").alias("method"))
 
 
