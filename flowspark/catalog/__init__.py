@@ -4,7 +4,7 @@ import importlib
 
 from flowspark.catalog.registry import ENTRIES, run
 
-MODULES = ("stats", "weather_energy", "toolkit", "model", "network", "events_plans", "records", "deliveries", "views", "learning")
+MODULES = ("stats", "weather_energy", "toolkit", "model", "network", "events_plans", "records", "deliveries", "views", "learning", "multimodal")
 
 
 def load() -> dict:

@@ -229,22 +229,23 @@ def _(n):
     return jn.longest_mention(n.raw("documents").select("doc_id", "text"), gazetteer(n), "doc_id")
 
 
-REQ = """SELECT DISTINCT CASE user_id%4 WHEN 0 THEN 'S+U Nation_'||k||' Bhf (Berlin)' WHEN 1 THEN 'nation '||k WHEN 2 THEN 'Natiom '||k ELSE 'Nation_'||k||'x0' END AS request FROM (SELECT user_id, CAST(user_id%31 AS VARCHAR) k FROM events)"""
+REQ = """SELECT DISTINCT CASE user_id%4 WHEN 0 THEN 'S+U Nation_'||k||' Bhf (Berlin)' WHEN 1 THEN 'nation '||k WHEN 2 THEN [CASE WHEN user_id%8=2 THEN 'Natiom ' ELSE 'Mation ' END][1]||k ELSE 'Nation_'||k||'x0' END AS request,
+CASE user_id%4 WHEN 2 THEN [CASE WHEN user_id%8=2 THEN 'natiom ' ELSE 'mation ' END][1]||k WHEN 3 THEN 'nation '||k||'x0' ELSE 'nation '||k END AS nk FROM (SELECT user_id, CAST(user_id%31 AS VARCHAR) k FROM events)"""
 
 
 def name_requests(n):
     u = F.col("user_id")
     k = (u % 31).cast("string")
     r = (F.when(u % 4 == 0, F.concat(F.lit("S+U Nation_"), k, F.lit(" Bhf (Berlin)"))).when(u % 4 == 1, F.concat(F.lit("nation "), k))
-         .when(u % 4 == 2, F.concat(F.lit("Natiom "), k)).otherwise(F.concat(F.lit("Nation_"), k, F.lit("x0"))))
+         .when(u % 8 == 2, F.concat(F.lit("Natiom "), k)).when(u % 4 == 2, F.concat(F.lit("Mation "), k)).otherwise(F.concat(F.lit("Nation_"), k, F.lit("x0"))))
     return n.raw("events").select(r.alias("request"))
 
 
 @register("j9_resolve_names", "request match_kind station_key candidates:a", ctes="stations", sql=f"""
-WITH r AS (SELECT request, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(request),'\\(berlin\\)','','g'),'^\\s*(s\\+u|u)\\s+',''),'\\bbhf\\b','','g'),'[^a-z0-9()]+',' ','g')) nk FROM ({REQ})),
+WITH r AS ({REQ}),
 s AS (SELECT station_key, trim(regexp_replace(lower(name),'[^a-z0-9()]+',' ','g')) sk FROM stations),
 ex AS (SELECT request, station_key FROM r JOIN s ON nk=sk),
-cl AS (SELECT request, station_key, 1-levenshtein(nk,sk)/greatest(length(nk),length(sk)) sc, sk FROM r JOIN s ON nk<>sk AND substr(nk,1,1)=substr(sk,1,1)),
+cl AS (SELECT request, station_key, 1-levenshtein(nk,sk)/greatest(length(nk),length(sk)) sc, sk FROM r JOIN s ON nk<>sk),
 cb AS (SELECT request, count(*) n, first(station_key ORDER BY sc DESC, sk) station_key, max(sc) sc FROM cl WHERE sc>=0.75 GROUP BY 1),
 pt AS (SELECT request, list(station_key ORDER BY station_key) c FROM r JOIN s ON contains(' '||sk||' ', ' '||nk||' ') GROUP BY 1)
 SELECT r.request, CASE WHEN ex.station_key IS NOT NULL THEN 'exact' WHEN cb.n=1 OR cb.sc>0.9 THEN 'close' WHEN pt.c IS NULL THEN 'unknown' WHEN len(pt.c)>1 THEN 'ambiguous' ELSE 'part' END match_kind,
@@ -255,6 +256,16 @@ def _(n):
     return jn.resolve_names(name_requests(n), n.stations)
 
 
+@register("j9_close_names", "name other score:f", sql="""
+WITH k AS (SELECT DISTINCT lower(p_name) k FROM part), c AS (SELECT DISTINCT lower(p_name)||'x' k FROM part WHERE p_partkey%3=0 UNION SELECT DISTINCT 'q'||substr(lower(p_name),2) FROM part WHERE p_partkey%3=1)
+SELECT a.k AS name, b.k AS other, 1-levenshtein(a.k,b.k)/greatest(length(a.k),length(b.k)) score FROM c a JOIN k b ON a.k<>b.k WHERE 1-levenshtein(a.k,b.k)/greatest(length(a.k),length(b.k))>=0.9""")
+def _(n):
+    """Misspelled part names, the first letter among them, against all part names: every pair above the cutoff."""
+    k, name = n.raw("part"), F.lower("p_name")
+    odd = k.filter("p_partkey % 3 = 0").select(F.concat(name, F.lit("x")).alias("lk")).unionByName(k.filter("p_partkey % 3 = 1").select(F.concat(F.lit("q"), F.expr("substring(lower(p_name), 2)")).alias("lk")))
+    return jn.close_names(odd, k.select(name.alias("rk")), 0.9).select(F.col("lk").alias("name"), F.col("rk").alias("other"), "score")
+
+
 TOK = "list_distinct(string_split(trim(regexp_replace(lower({0}),'[^a-z0-9]+',' ','g')),' '))"
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
 from flowspark.functions import text as tx
@@ -199,12 +201,60 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def resolve_names(requests: DataFrame, stations: DataFrame, aliases: DataFrame | None = None, cutoff: float = 0.75, sure: float = 0.9) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the length of all matching blocks over both lengths: longest common block first, then left and right of it."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, y, x, autojunk=False).ratio() if x and y else float(x == y) for x, y in zip(a, b)])
+
+
+def close_names(left: DataFrame, right: DataFrame, cutoff: float = 0.75, measure: str = "edits") -> DataFrame:
+    """Pairs (lk, rk, score) of different keys of ``left`` (lk) and ``right`` (rk) with a similarity of at least ``cutoff``.
+
+    ``measure`` is ``edits`` (1 - edit distance / longer length) or ``blocks`` (``block_ratio``). Pairs meet by what they must share: with
+    longer length m, d = (1 - cutoff) m edits leave at least m - 1 - 2 d common pairs of neighbouring letters; with S letters in both, blocks
+    of cutoff S / 2 letters and at most (1 - cutoff) S + 1 blocks leave (1.5 cutoff - 1) S - 1. Where that is less than one, single letters are counted
+    instead, of which m - d or cutoff S / 2 are common. No letter has to be right, the first one included.
+    """
+    if measure not in ("edits", "blocks"):
+        raise ValueError("measure must be edits or blocks")
+    if not 0.67 < cutoff <= 1:
+        raise ValueError("cutoff must lie above 0.67: below, common letters no longer bound what to compare")
+
+    def grams(df: DataFrame, k: str) -> DataFrame:
+        d = df.select(k).distinct().filter(F.length(k) > 0)
+        one = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.substring(F.col(k), i, F.lit(1)))
+        two = F.when(F.length(k) > 1, F.transform(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.substring(F.col(k), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+        short = F.length(k) <= longest
+        rows = d.select(k, F.explode(F.concat(two, F.when(short, one).otherwise(F.array().cast("array<string>")))).alias("g"))
+        return rows.groupBy(k, "g").agg(F.count(F.lit(1)).alias("n"))
+
+    def pairs_due(x, y):
+        m, total = F.greatest(x, y), x + y
+        return m * (2 * cutoff - 1) - 1 if measure == "edits" else (1.5 * cutoff - 1) * total - 1
+
+    def letters_due(x, y):
+        return F.greatest(x, y) * cutoff if measure == "edits" else (x + y) * cutoff / 2
+
+    # names up to this length may have a partner with which no pair of letters is sure to be common
+    longest = int(2 / (2 * cutoff - 1)) + 1 if measure == "edits" else int(2 / (1.5 * cutoff - 1)) + 1
+    j = grams(left, "lk").join(grams(right, "rk").withColumnRenamed("n", "m"), "g").filter("lk <> rk")
+    size = F.length("g")
+    j = j.groupBy("lk", "rk").agg(*[F.sum(F.when(size == i, F.least("n", "m")).otherwise(0)).alias(f"c{i}") for i in (1, 2)])
+    x, y = F.length("lk"), F.length("rk")
+    near = F.least(x, y) >= F.greatest(x, y) * (cutoff if measure == "edits" else cutoff / (2 - cutoff)) - 1e-9
+    due = pairs_due(x, y)
+    j = j.filter(near & F.when(due >= 1, F.col("c2") >= due - 1e-9).otherwise(F.col("c1") >= letters_due(x, y) - 1e-9))
+    score = similarity(F.col("lk"), F.col("rk")) if measure == "edits" else block_ratio(F.col("lk"), F.col("rk"))
+    return j.select("lk", "rk", score.alias("score")).filter(F.col("score") >= cutoff)
+
+
+def resolve_names(requests: DataFrame, stations: DataFrame, aliases: DataFrame | None = None, cutoff: float = 0.75, sure: float = 0.9, measure: str = "edits") -> DataFrame:
     """Station of each requested name: (request, match_kind, station_key, candidates).
 
-    Cascade: exact key, alias, name before a bracket, close spelling (blocked on the first letter
-    and a length band that the cutoff implies), whole-word part. Several stations at the deciding
-    step make the request ambiguous. Distinct requests are resolved once.
+    Cascade: exact key, alias, name before a bracket, close spelling (``close_names``: any letter may be wrong), whole-word part.
+    Several stations at the deciding step make the request ambiguous. Distinct requests are resolved once.
     """
     req = requests.select("request").distinct().withColumn("nk", tx.name_key("request"))
     if aliases is not None:
@@ -218,10 +268,8 @@ def resolve_names(requests: DataFrame, stations: DataFrame, aliases: DataFrame |
 
     exact = found(req.join(st, F.col("nk") == F.col("sk")), "exact", 1)
     stem = found(req.join(st, F.col("nk") == F.col("stem")), "stem", 2)
-    ln, ls = F.length("nk"), F.length("sk")
-    block = req.withColumn("b", F.substring("nk", 1, 1)).join(st.withColumn("b", F.substring("sk", 1, 1)), "b")
-    block = block.filter(F.least(ln, ls) >= cutoff * F.greatest(ln, ls)).withColumn("score", similarity(F.col("nk"), F.col("sk")))
-    close = block.filter(F.col("score") >= cutoff).filter(F.col("nk") != F.col("sk"))
+    near = close_names(req.select(F.col("nk").alias("lk")), st.select(F.col("sk").alias("rk")), cutoff, measure)
+    close = req.join(near, F.col("nk") == F.col("lk")).join(st, F.col("rk") == F.col("sk"))
     best = F.row_number().over(Window.partitionBy("request").orderBy(F.col("score").desc(), "sk"))
     close = close.withColumn("r", best).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("request")))
     close = close.filter((F.col("r") == 1) & ((F.col("n") == 1) | (F.col("score") > sure)))
