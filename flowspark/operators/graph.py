@@ -323,48 +323,78 @@ def legs(found: DataFrame, key: str = "od_id") -> DataFrame:
     ).withColumn("via", F.expr("slice(stations, 1, size(stations) - 1)")).drop("stations")
 
 
-def k_simple_paths(od: DataFrame, edges: DataFrame, k: int = 3, slack: int = 2, blocked: DataFrame | None = None, avoid: DataFrame | None = None) -> DataFrame:
-    """The k paths with the fewest stops per (od_id, origin, destination); ties by path.
+def fewest_stops(requests: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, levels: int = 6) -> DataFrame:
+    """(req, path): the path with the fewest stops of every request (req, root, destination), the first one by name among equals.
 
-    Partial paths grow by one stop per round and are kept only while their length plus the hop
-    distance to the destination stays within the shortest length plus the slack. Requests that
-    find fewer than k paths are repeated with more slack until no longer simple path exists.
-    ``blocked`` (od_id, src, dst) and ``avoid`` (od_id, station) restrict single requests.
+    A path starts at the last stop of ``root`` and meets no stop of it again; ``blocked`` (req, src, dst) takes edges from single requests. All requests
+    advance together, ``levels`` stops between two materialisations; a stop keeps one path per request, and requests that have arrived leave.
     """
-    e = undirected(edges)
-    n_nodes = e.select("src").distinct().count()
-    # Hop distances in the unrestricted network are a lower bound under any restriction.
-    hop = cut(all_pairs_hops(e).select(F.col("source").alias("_u"), F.col("node").alias("destination"), F.col("d").alias("_h")))
-    todo, out = od.select("od_id", "origin", "destination"), None
+    start = F.element_at("root", -1)
+    seen = cut(requests.select("req", "root", "destination", start.alias("at"), F.lit(0).alias("d"), F.array(start).alias("path")))
+    done, depth = None, 0
     while True:
-        b = todo.join(hop.withColumnRenamed("_u", "origin"), ["origin", "destination"]).withColumn("bound", F.col("_h") + slack).drop("_h")
-        live = cut(b.withColumn("path", F.array("origin")).withColumn("at", F.col("origin")))
-        found = None
-        for _ in range(n_nodes):
-            x = live.join(e.toDF("at", "_to"), "at").filter(~F.array_contains("path", F.col("_to")))
+        for _ in range(levels):
+            step = seen.filter((F.col("d") == depth) & (F.col("at") != F.col("destination"))).join(edges.select(F.col("src").alias("at"), F.col("dst").alias("_to")), "at")
+            step = step.filter(~F.array_contains("root", F.col("_to")))
             if blocked is not None:
-                x = x.join(blocked.select("od_id", F.col("src").alias("at"), F.col("dst").alias("_to")), ["od_id", "at", "_to"], "left_anti")
-            if avoid is not None:
-                x = x.join(avoid.select("od_id", F.col("station").alias("_to")), ["od_id", "_to"], "left_anti")
-            x = x.withColumn("path", F.concat("path", F.array("_to"))).drop("at").withColumnRenamed("_to", "at")
-            x = x.join(hop.withColumnRenamed("_u", "at"), ["at", "destination"]).filter(F.size("path") - 1 + F.col("_h") <= F.col("bound")).drop("_h")
-            x = cut(x)
-            done = x.filter("at = destination").select("od_id", "path", "bound")
-            found = done if found is None else found.unionByName(done)
-            live = x.filter("at <> destination")
-            if live.isEmpty():
-                break
-        r = F.row_number().over(Window.partitionBy("od_id").orderBy(F.size("path"), "path"))
-        found = cut(found.withColumn("rank", r).filter(F.col("rank") <= k).withColumn("stops", F.size("path") - 1))
-        enough = found.groupBy("od_id").count().filter(F.col("count") >= k).select("od_id")
-        whole = slack >= n_nodes
-        settled = found if whole else found.join(enough, "od_id", "left_semi")
-        settled = settled.select("od_id", "rank", "stops", "path")
-        out = settled if out is None else out.unionByName(settled)
-        todo = cut(todo.join(enough, "od_id", "left_anti"))
-        if whole or todo.isEmpty():
-            return out
-        slack = min(max(2 * slack, 1), n_nodes)
+                step = step.join(blocked.select("req", F.col("src").alias("at"), F.col("dst").alias("_to")), ["req", "at", "_to"], "left_anti")
+            step = step.select("req", "root", "destination", F.col("_to").alias("at"), F.lit(depth + 1).alias("d"), F.concat("path", F.array("_to")).alias("path"))
+            best = F.min(F.struct("d", "path", "root", "destination")).alias("s")
+            seen = seen.unionByName(step).groupBy("req", "at").agg(best).select("req", "s.root", "s.destination", "at", "s.d", "s.path")
+            depth += 1
+        seen = cut(seen)
+        there = seen.filter("at = destination").select("req", "path")
+        done = there if done is None else done.unionByName(there)
+        seen = cut(seen.join(there, "req", "left_anti"))
+        if seen.filter(F.col("d") == depth).isEmpty():
+            return cut(done)
+
+
+def k_simple_paths(od: DataFrame, edges: DataFrame, k: int = 3, blocked: DataFrame | None = None, avoid: DataFrame | None = None) -> DataFrame:
+    """The k simple paths with the fewest stops per (od_id, origin, destination): (od_id, rank, stops, path); ties by path.
+
+    Deviations of all requests are searched together: each stop of the path found last, from where it left its own parent on, is a spur; the search
+    from it may not use the stops before it, nor the edges by which paths found so far leave the same beginning. The best candidate of each request is its next
+    path. So k - 1 batched searches find k paths, however many simple paths there are. ``blocked`` (od_id, src, dst) and ``avoid``
+    (od_id, station) restrict single requests.
+    """
+    e = cut(undirected(edges).select("src", "dst").distinct())
+    todo = od.select("od_id", "origin", "destination").distinct()
+
+    def restricted(reqs: DataFrame, more: DataFrame | None) -> DataFrame | None:
+        """Edges that single searches (req, od_id) may not use."""
+        parts = [more] if more is not None else []
+        if blocked is not None:
+            parts.append(reqs.select("req", "od_id").join(blocked.select("od_id", "src", "dst"), "od_id").select("req", "src", "dst"))
+        if avoid is not None:
+            closed = avoid.select("od_id", F.col("station").alias("dst")).join(e, "dst")
+            parts.append(reqs.select("req", "od_id").join(closed, "od_id").select("req", "src", "dst"))
+        out = None
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+        return None if out is None else out.distinct()
+
+    first = todo.select(F.col("od_id").cast("string").alias("req"), "od_id", F.array("origin").alias("root"), "destination").filter(F.element_at("root", 1) != F.col("destination"))
+    found = fewest_stops(first, e, restricted(first, None))
+    new = cut(first.join(found, "req").select("od_id", "destination", "path", F.lit(0).alias("dev"), F.lit(1).alias("rank")))
+    kept, pool = new, None
+    for rank in range(2, k + 1):
+        spur = new.select("od_id", "destination", "path", F.explode(F.sequence("dev", F.size("path") - 2)).alias("dev"))
+        root = F.slice("path", 1, F.col("dev") + 1)
+        spur = cut(spur.select(F.concat_ws("#", F.col("od_id").cast("string"), F.lit(str(rank)), F.col("dev").cast("string")).alias("req"), "od_id", "destination", "dev", root.alias("root")))
+        same = spur.join(kept.select("od_id", F.col("path").alias("_p")), "od_id").filter((F.size("_p") > F.size("root")) & (F.slice("_p", 1, F.size("root")) == F.col("root")))
+        leaves = same.select("req", F.element_at("root", -1).alias("src"), F.get("_p", F.size("root")).alias("dst"))
+        got = fewest_stops(spur.select("req", "root", "destination"), e, restricted(spur, leaves))
+        fresh = spur.join(got, "req").select("od_id", "destination", F.concat(F.slice("root", 1, F.size("root") - 1), "path").alias("path"), "dev")
+        pool = cut(fresh if pool is None else pool.unionByName(fresh))
+        w = Window.partitionBy("od_id").orderBy(F.size("path"), "path")
+        ranked = cut(pool.withColumn("_r", F.row_number().over(w)))
+        new = cut(ranked.filter("_r = 1").drop("_r").withColumn("rank", F.lit(rank)))
+        if new.isEmpty():
+            break
+        pool = ranked.filter("_r > 1").drop("_r")
+        kept = cut(kept.unionByName(new.select(kept.columns)))
+    return kept.select("od_id", "rank", (F.size("path") - 1).alias("stops"), "path")
 
 
 def closed_line_edges(edges: DataFrame, stations: DataFrame, line: str) -> DataFrame:

@@ -114,7 +114,7 @@ def test_k_simple_paths_against_enumeration(spark):
                     yield from all_paths(x, b, path + [x])
 
     od = [(f"{a}{b}", a, b) for a, b in itertools.combinations(nodes, 2)]
-    got = {(r["od_id"], r["rank"]): r["path"] for r in g.k_simple_paths(spark.createDataFrame(od, "od_id string, origin string, destination string"), edges(spark, pairs), 3, slack=0).collect()}
+    got = {(r["od_id"], r["rank"]): r["path"] for r in g.k_simple_paths(spark.createDataFrame(od, "od_id string, origin string, destination string"), edges(spark, pairs), 3).collect()}
     for i, a, b in od:
         want = sorted(all_paths(a, b, [a]), key=lambda p: (len(p), p))[:3]
         assert [got[(i, k + 1)] for k in range(len(want))] == want and (i, len(want) + 1) not in got

@@ -52,4 +52,20 @@ def test_name_keys_by_effect(spark):
     assert {r[0]: r[1] for r in d.select("n", tx.display_name("n")).collect()} == shown
 
 
+def test_paths_of_a_grid_without_listing_them(spark):
+    """A grid has hundreds of thousands of shortest paths between its corners; three are found by deviations."""
+    from flowspark.operators import graph as g
+
+    size = 11
+    name = lambda x, y: f"{x:02d}{y:02d}"
+    pairs = [(name(x, y), name(x + dx, y + dy)) for x in range(size) for y in range(size) for dx, dy in ((1, 0), (0, 1)) if x + dx < size and y + dy < size]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    od = spark.createDataFrame([("c", name(0, 0), name(size - 1, size - 1)), ("n", name(3, 3), name(3, 4))], "od_id string, origin string, destination string")
+    got = {(r.od_id, r["rank"]): r.path for r in g.k_simple_paths(od, e, 3).collect()}
+    first = [name(0, y) for y in range(size)] + [name(x, size - 1) for x in range(1, size)]
+    assert got["c", 1] == first and all(len(got["c", r]) == 2 * size - 1 for r in (2, 3))
+    assert got["c", 2] == first[: size - 1] + [name(1, size - 2), name(1, size - 1)] + first[size + 1 :]
+    assert got["n", 1] == [name(3, 3), name(3, 4)] and len(got["n", 2]) == 4 and got["n", 2][1] == name(2, 3)
+
+
 _ = (itertools, F)
