@@ -118,21 +118,25 @@ def _(n):
     return f.groupBy("path", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("x1d_sentences", "conv_id:i turn:i sentences:i", sql="""
-SELECT conv_id, turn, count(*) sentences FROM (SELECT conv_id, turn, unnest(string_split_regex(regexp_replace(line,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1))) s FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) line FROM conversations) WHERE NOT regexp_matches(line,'^\\s*\\|')) WHERE trim(s)<>'' GROUP BY 1,2""")
+SENTENCES = """(SELECT {key}, unnest(CASE WHEN regexp_matches(line,'^\\s*\\|') THEN [line] ELSE string_split_regex(regexp_replace(line,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)) END) AS s, regexp_matches(line,'^\\s*\\|') AS is_row FROM (SELECT {key}, unnest(string_split(text, chr(10))) line FROM {table}))"""
+
+
+@register("x1d_sentences", "conv_id:i turn:i sentences:i table_rows:i", sql=f"SELECT conv_id, turn, count_if(NOT is_row) sentences, count_if(is_row) table_rows FROM {SENTENCES.format(key='conv_id, turn', table='conversations')} WHERE trim(s)<>'' GROUP BY 1,2")
 def _(n):
     s = ta.sentences(n.raw("conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    return s.filter("header IS NULL").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("sentences"))
+    return s.groupBy("conv_id", "turn").agg(F.count_if(F.col("header").isNull()).alias("sentences"), F.count_if(F.col("header").isNotNull()).alias("table_rows"))
 
 
-@register("x1c_sentence_mentions", "alias n:i", ctes="gaz", sql=f"""
-SELECT alias, count(*) n FROM (SELECT DISTINCT doc_id, line_no, alias FROM (SELECT doc_id, line_no, translate(replace(lower(line),'ß','ss'),'äöüáàâéèêëíìîïóòôúùûçñ','aouaaaeeeeiiiiooouuucn') t FROM (SELECT doc_id, unnest(string_split(text,chr(10))) line, generate_subscripts(string_split(text,chr(10)),1) line_no FROM documents)) JOIN gaz ON contains(t, alias)) GROUP BY 1""")
+@register("x1c_sentence_mentions", "alias n:i docs:i", ctes="gaz", sql=f"""
+SELECT alias, count(*) n, count(DISTINCT doc_id) docs FROM (SELECT doc_id, translate(replace(lower(s),'ß','ss'),'äöüáàâéèêëíìîïóòôúùûçñ','aouaaaeeeeiiiiooouuucn') t FROM {SENTENCES.format(key='doc_id', table='documents')} WHERE trim(s)<>'')
+JOIN gaz ON contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])'||regexp_escape(alias)||'([^a-z0-9]|$)') GROUP BY 1""")
 def _(n):
+    """Sentences of whole documents with the names in them, word by word."""
     from flowspark.operators.joins import mentions
 
-    lines = n.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    m = mentions(lines, gazetteer(n)).select("doc_id", "line_no", "alias").distinct()
-    return m.groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
+    s = ta.sentences(n.raw("documents").select("doc_id", "text"), ["doc_id"]).select("doc_id", "line_no", "sentence_no", F.col("sentence").alias("text"))
+    m = mentions(s, gazetteer(n), word_bounded=True, longest=False).select("doc_id", "line_no", "sentence_no", "alias").distinct()
+    return m.groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @register("x2_check_figures", "status kind n:i")

@@ -8,7 +8,7 @@ nested loop. Small sides are left to the size-checked automatic broadcast.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +19,11 @@ from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
 from flowspark.functions import text as tx
 from flowspark.functions import time as t
 from flowspark.functions.geo import cell, haversine_km
+from flowspark.functions.lineage import cut
 from flowspark.operators.grid import window_spine
 
-MAX_REGEX_ALIASES = 2000
+#: Names whose automaton one task holds at a time.
+BLOCK_ALIASES = 200_000
 
 
 # -- intervals --------------------------------------------------------------------------------
@@ -140,54 +142,65 @@ def too_close_pairs(points: DataFrame, key: str, radius_km: float) -> DataFrame:
 # -- text -------------------------------------------------------------------------------------
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", word_bounded: bool = False, max_regex: int = MAX_REGEX_ALIASES) -> DataFrame:
-    """All positions at which an alias occurs in a text: (text columns, alias, pos), 1-based.
+def mentions(texts: DataFrame, aliases: DataFrame, text_col: str = "text", word_bounded: bool = False, block_aliases: int = BLOCK_ALIASES, longest: bool = True) -> DataFrame:
+    """All positions at which an alias occurs in a folded text, with the longest alias there or all of them: (text columns, alias, pos), 1-based.
 
-    Each text is scanned whole. A gazetteer up to ``max_regex`` aliases becomes one look-ahead
-    pattern with shared prefixes, evaluated inside the JVM; it reports the longest alias at each
-    position. A larger gazetteer is joined on the first characters of every position instead,
-    which gives the same rows.
+    Each text is scanned once, character by character, by an automaton of the aliases that every task builds for itself. Larger gazetteers
+    are dealt into blocks of at most about ``block_aliases`` names by a hash; each block scans the texts, and the longest name of all blocks stays. Every row
+    of ``texts`` keeps its own mentions, equal rows too.
     """
-    n = aliases.limit(max_regex + 1).count()
-    texts = texts.withColumn("_t", tx.fold(text_col))
-    if 0 < n <= max_regex:
-        names = sorted({r[0] for r in aliases.select("alias").distinct().collect()})
-        b = r"(?<![a-z0-9])" if word_bounded else ""
-        e = r"(?![a-z0-9])" if word_bounded else ""
-        any_name, longest = f"{b}({_prefix_tree(names, e)})", max(map(len, names))
-        # One pass cuts the text at every hit; the lengths of the pieces give the positions.
-        ends = F.aggregate(
-            F.split("_t", f"(?={any_name})"), F.array(F.lit(1)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s)))
-        )
-        # The name at a cut: read with the character before it, which a look-behind needs.
-        near = lambda p: F.substring(F.concat(F.lit(" "), F.col("_t")), p, F.lit(longest + 2))
-        hit = lambda p: F.struct(p.alias("pos"), F.regexp_extract(near(p), "(?s)^." + any_name, 1).alias("alias"))
-        found = texts.withColumn("_h", F.filter(F.transform(ends, hit), lambda x: x["alias"] != ""))
-        return found.select("*", F.explode("_h").alias("_x")).select("*", "_x.alias", "_x.pos").drop("_t", "_h", "_x")
-    k = aliases.agg(F.min(F.length("alias"))).first()[0] or 1
-    al = aliases.select("alias").distinct().withColumn("_g", F.substring("alias", 1, k))
-    grams = texts.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))))
-    grams = grams.withColumn("_g", F.substring(F.col("_t"), F.col("pos"), F.lit(k)))
-    j = grams.join(al, "_g").filter(F.substring(F.col("_t"), F.col("pos"), F.length("alias")) == F.col("alias"))
-    if word_bounded:
-        before, after = F.substring(F.col("_t"), F.col("pos") - 1, F.lit(1)), F.substring(F.col("_t"), F.col("pos") + F.length("alias"), F.lit(1))
-        j = j.filter(((F.col("pos") == 1) | ~before.rlike("[a-z0-9]")) & ~after.rlike("[a-z0-9]"))
-    key = [c for c in texts.columns if c != "_t"]
-    w = Window.partitionBy(*key, "pos").orderBy(F.length("alias").desc())
-    return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_t", "_g", "_r")
-
-
-def _prefix_tree(names: list[str], end: str) -> str:
-    """Regular expression of a name list with shared prefixes written once; longer names are tried first."""
-    if not names:
-        return ""
-    heads: dict[str, list[str]] = {}
-    for w in names:
-        heads.setdefault(w[:1], []).append(w[1:])
-    alts = [re.escape(h) + _prefix_tree(rest, end) for h, rest in heads.items() if h]
-    if "" in heads:
-        alts.append(end)
-    return alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+    names = aliases.select("alias").filter(F.length("alias") > 0).distinct()
+    blocks = max(1, -(-names.count() // block_aliases))
+    rows = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", tx.fold(text_col))
+    if blocks > 1:
+        rows = cut(rows)
+    found = None
+    for i in range(blocks):
+        block = names if blocks == 1 else names.filter(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == i)
+        held = texts.sparkSession.sparkContext.broadcast(sorted(r[0] for r in block.collect()))  # about block_aliases names
+        hits = rows.withColumn("_h", _scan(held, word_bounded, longest)(F.col("_t")))
+        one = hits.select("*", F.explode("_h").alias("_x")).select("*", "_x.alias", "_x.pos").drop("_t", "_h", "_x")
+        found = one if found is None else found.unionByName(one)
+    if blocks > 1 and longest:
+        w = Window.partitionBy("_row", "pos").orderBy(F.length("alias").desc())
+        found = found.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return found.drop("_row")
+
+
+def _scan(held, word_bounded: bool, longest: bool):
+    """Column function: places and names of the longest alias, or of all, at each place of a text."""
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        names = ahocorasick.Automaton()
+        for name in held.value:
+            names.add_word(name, name)
+        ready = len(held.value) > 0
+        if ready:
+            names.make_automaton()
+        for texts in batches:
+            out = []
+            for text in texts:
+                best: dict[int, str] = {}
+                every = []
+                if ready and text:
+                    for end, name in names.iter(text):
+                        at = end - len(name) + 1
+                        if word_bounded and (_in_word(text, at - 1) or _in_word(text, end + 1)):
+                            continue
+                        if not longest:
+                            every.append((at, name))
+                        elif len(name) > len(best.get(at, "")):
+                            best[at] = name
+                out.append([{"alias": name, "pos": at + 1} for at, name in sorted(every or best.items())])
+            yield pd.Series(out, dtype=object)
+
+    return F.pandas_udf(scan, "array<struct<alias:string,pos:int>>")
+
+
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at] in "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def longest_mention(texts: DataFrame, aliases: DataFrame, key: str, text_col: str = "text") -> DataFrame:

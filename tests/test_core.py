@@ -91,10 +91,10 @@ def test_mentions_strategies_agree(spark):
     texts = spark.createDataFrame([(1, "Zoo and zoo garten, Zoogarten"), (2, "nothing"), (3, "garten zoo")], "id int, text string")
     al = spark.createDataFrame([("zoo",), ("zoo garten",), ("garten",)], "alias string")
     a = {tuple(r) for r in jn.mentions(texts, al).select("id", "alias", "pos").collect()}
-    b = {tuple(r) for r in jn.mentions(texts, al, max_regex=0).select("id", "alias", "pos").collect()}
+    b = {tuple(r) for r in jn.mentions(texts, al, block_aliases=1).select("id", "alias", "pos").collect()}
     assert a == b and (1, "zoo", 1) in a and (1, "zoo garten", 9) in a
     w = {tuple(r) for r in jn.mentions(texts, al, word_bounded=True).select("id", "alias", "pos").collect()}
-    w2 = {tuple(r) for r in jn.mentions(texts, al, word_bounded=True, max_regex=0).select("id", "alias", "pos").collect()}
+    w2 = {tuple(r) for r in jn.mentions(texts, al, word_bounded=True, block_aliases=1).select("id", "alias", "pos").collect()}
     assert w == w2 and not any(p == 21 for _, _, p in w)
 
 
