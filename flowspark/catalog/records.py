@@ -139,13 +139,24 @@ def _(n):
     return m.groupBy("alias").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@register("x2_check_figures", "status kind n:i")
-def _(n):
-    """Numbers of each document against the facts of its first half of figures."""
-    f = doc_figures(n).filter("kind = 'number'")
-    facts = f.filter("fig_id % 2 = 1").select("doc_id", F.lit("doc").alias("parent"), F.col("value").alias("number"))
-    c = ta.check_figures(f, facts, "doc_id")
-    return c.groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"))
+@register("x2_check_figures", "status n:i", sql="""
+WITH f AS (SELECT o_orderkey doc, 0 id, round(o_totalprice/1000) v FROM orders UNION ALL SELECT l_orderkey, 1, max(l_quantity)-min(l_quantity) FROM lineitem GROUP BY 1 UNION ALL SELECT l_orderkey, 2, round(max(l_quantity)/min(l_quantity), 1) FROM lineitem GROUP BY 1),
+t AS (SELECT *, CASE WHEN id=2 THEN 0.05 WHEN v>=100 AND v%10=0 THEN greatest(0.5, 0.012*v) ELSE 0.5 END tol FROM f WHERE v IS NOT NULL), n AS (SELECT DISTINCT l_orderkey doc, l_returnflag parent, l_quantity x, CAST(l_linenumber%2 AS VARCHAR) st FROM lineitem),
+s AS (SELECT doc, id, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.doc=t.doc AND abs(x-v)<=tol+1e-9 AND (id<>0 OR st='1')) THEN 'verified'
+WHEN EXISTS (SELECT 1 FROM n a JOIN n b ON a.doc=b.doc AND a.parent=b.parent AND a.x<>b.x WHERE a.doc=t.doc AND (id<>0 OR a.st='1') AND (abs(abs(a.x-b.x)-v)<=tol+1e-9 OR abs(a.x/b.x-v)<=tol+1e-9 OR abs(abs(a.x/b.x-1)*100-v)<=tol+1e-9)) THEN 'calculated' ELSE 'not_found' END status FROM t)
+SELECT status, count(*) n FROM s GROUP BY 1""")
+def _(n):
+    """Figures of orders against quantities of their lines, with stations in the context of one of the figures."""
+    o, li = n.raw("orders"), n.raw("lineitem")
+    none = F.array().cast("array<string>")
+    f = o.select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("fig_id"), F.round(F.col("o_totalprice") / 1000).alias("value"), F.array(F.lit("1")).alias("stations"))
+    g = li.groupBy(F.col("l_orderkey").alias("doc")).agg((F.max("l_quantity") - F.min("l_quantity")).alias("d"), F.round(F.max("l_quantity") / F.min("l_quantity"), 1).alias("q"))
+    f = f.unionByName(g.select("doc", F.lit(1).alias("fig_id"), F.col("d").alias("value"), none.alias("stations"))).unionByName(g.select("doc", F.lit(2).alias("fig_id"), F.col("q").alias("value"), none.alias("stations"))).filter("value IS NOT NULL")
+    v = F.col("value")
+    tol = F.when(F.col("fig_id") == 2, 0.05).when((v >= 100) & (v % 10 == 0), F.greatest(F.lit(0.5), 0.012 * v)).otherwise(0.5)
+    figs = f.select("doc", "fig_id", "value", F.lit("").alias("unit"), tol.alias("tol"), "stations")
+    facts = li.select(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("parent"), F.col("l_quantity").alias("number"), F.array((F.col("l_linenumber") % 2).cast("string")).alias("stations"))
+    return ta.check_figures(figs, facts, "doc").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("x3_consistency", "lang runs:i in_common:i in_any:i share_identical:f")

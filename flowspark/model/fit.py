@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
 from flowspark.functions.lineage import broadcast_if_small, cut
 from flowspark.functions.noise import expected_reading
-from flowspark.operators.joins import closed_cells, event_load, kernel_load, nearest_k, within_km
+from flowspark.operators.joins import closed_cells, event_load, kernel_load, nearest, within_km
 from flowspark.operators.stats import ceilings
 from flowspark.operators.weather import daily_temperature
 
@@ -156,7 +156,7 @@ def rule_shares(venues: DataFrame, stations: DataFrame, params: ModelParams = DE
     st = stations.select("station_key", "lat", "lon")
     near = within_km(venues, st, params.venue_radius_km).select("venue_key", "station_key", "km")
     lonely = venues.join(near.select("venue_key").distinct(), "venue_key", "left_anti")
-    far = nearest_k(lonely, st, "venue_key", "station_key", 30.0, 2).select("venue_key", "station_key", "km")
+    far = nearest(lonely, st, "venue_key", "station_key", 4 * params.venue_radius_km, k=2).select("venue_key", "station_key", "km")
     g = near.unionByName(far).withColumn("g", F.exp(-F.col("km") * F.col("km") / (2 * params.venue_sigma_km**2)))
     share = F.col("g") / F.sum("g").over(Window.partitionBy("venue_key"))
     return g.select("venue_key", "station_key", share.alias("share")).filter(F.col("share") > params.min_share)

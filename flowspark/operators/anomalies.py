@@ -55,7 +55,8 @@ def rain_findings(risk: DataFrame, weather: DataFrame, dry: DataFrame, min_exces
     g = own.groupBy("eday", "island", "max_rain", "mm").agg(F.min("slot").alias("start"), F.max("slot").alias("last_slot"), F.sum("o").alias("observed"), F.sum("d").alias("expected_dry"), F.sum("m").alias("expected_rain"))
     lo = net.agg(F.min("slot")).scalar()
     hi = net.agg(F.max("slot")).scalar()
-    ref = base.drop("day").withColumn("k", F.explode(F.sequence(F.lit(-60), F.lit(60)))).filter("k <> 0")
+    weeks = (F.floor(F.datediff(hi, lo) / 7) + 1).cast("int")  # as far as the data reaches
+    ref = base.drop("day").withColumn("k", F.explode(F.sequence(-weeks, weeks))).filter("k <> 0")
     ref = ref.withColumn("start", F.col("start") + t.minutes(F.col("k") * 10080)).withColumn("end", F.col("end") + t.minutes(F.col("k") * 10080))
     ref = ref.filter((F.col("start") >= lo) & (F.col("end") <= hi))
     rs = window_spine(ref, clock).join(net, "slot").groupBy("eday", "island", "k").agg(F.try_divide(F.sum("o"), F.sum("m")).alias("r"))

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 from flowspark.config import DEFAULT_CLOCK, DEFAULT_PARAMS, Clock, ModelParams
 from flowspark.functions import text as tx
 from flowspark.functions import time as t
-from flowspark.functions.geo import cell, haversine_km
+from flowspark.functions.geo import EARTH_KM, haversine_km
 from flowspark.functions.lineage import cut
 from flowspark.operators.grid import window_spine
 
@@ -89,23 +89,26 @@ def _kernel_load_keyed(events, params, clock, keys):
 # -- space ------------------------------------------------------------------------------------
 
 
-def within_km(left: DataFrame, right: DataFrame, radius_km: float, max_abs_lat: float = 60.0) -> DataFrame:
+def _sphere_cells(side: float) -> list[Column]:
+    """Cells of a grid in space for points (lat, lon) on the unit sphere."""
+    la, lo = F.radians("lat"), F.radians("lon")
+    return [F.floor(c / side).cast("long") for c in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]
+
+
+def within_km(left: DataFrame, right: DataFrame, radius_km: float) -> DataFrame:
     """Pairs of rows at most ``radius_km`` apart; columns lat/lon on both sides (right as rlat/rlon).
 
-    Equi-join on grid cells: the right side is copied into its 3 x 3 neighbourhood and the exact
-    distance filters the candidates. ``max_abs_lat`` bounds the latitudes, so that cells are wide
-    enough in longitude everywhere; a row beyond it ends the query instead of losing pairs.
+    Equi-join on cells of a grid in space, whose side is the chord of the radius: the right side is copied into the neighbouring cells and the exact
+    distance filters the candidates. Points in space know neither poles nor a date line, so no pair is lost anywhere.
     """
-    beyond = F.raise_error(F.lit(f"latitude beyond {max_abs_lat}: give within_km a larger max_abs_lat"))
-    held = lambda df: df.withColumn("lat", F.when(F.abs("lat") <= max_abs_lat, F.col("lat")).when(F.col("lat").isNotNull(), beyond))
-    left, right = held(left), held(right)
-    scale = math.cos(math.radians(max_abs_lat))
-    lft = left.withColumn("_cy", cell("lat", radius_km)).withColumn("_cx", cell("lon", radius_km, scale))
+    side = max(2 * math.sin(min(radius_km / EARTH_KM, math.pi) / 2), 1e-9) * (1 + 1e-9)
+    names = ["_cx", "_cy", "_cz"]
+    lft = left.withColumns(dict(zip(names, _sphere_cells(side))))
     off = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    r = right.withColumnRenamed("lat", "rlat").withColumnRenamed("lon", "rlon")
-    r = r.withColumn("_dy", F.explode(off)).withColumn("_dx", F.explode(off))
-    r = r.withColumn("_cy", cell("rlat", radius_km) + F.col("_dy")).withColumn("_cx", cell("rlon", radius_km, scale) + F.col("_dx"))
-    j = lft.join(r.drop("_dy", "_dx"), ["_cy", "_cx"]).drop("_cy", "_cx")
+    r = right.withColumns(dict(zip(names, _sphere_cells(side)))).withColumnRenamed("lat", "rlat").withColumnRenamed("lon", "rlon")
+    for c in names:
+        r = r.withColumn("_d", F.explode(off)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+    j = lft.join(r, names).drop(*names)
     return j.withColumn("km", haversine_km("lat", "lon", "rlat", "rlon")).filter(F.col("km") <= radius_km)
 
 
@@ -116,17 +119,21 @@ def nearest_k(left: DataFrame, right: DataFrame, key: str, right_key: str, radiu
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 1.0, max_km: float = 40000.0) -> DataFrame:
-    """The nearest right row of every left row, however far.
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 1.0, max_km: float = 40000.0, k: int = 1) -> DataFrame:
+    """The ``k`` nearest right rows of every left row, however far; fewer only if there are no more.
 
-    The radius grows fourfold for the rows still without a neighbour, so the dense part of the
+    The radius grows fourfold for the rows still without enough neighbours, so the dense part of the
     data is settled by the first, local join.
     """
     todo, done, radius = left, None, start_km
     while True:
-        hit = nearest_k(todo, right, key, right_key, radius, 1).drop("rank")
+        hit = nearest_k(todo, right, key, right_key, radius, k)
+        if radius < max_km:
+            full = hit.filter(F.col("rank") == k).select(key)
+            hit = hit.join(full, key, "left_semi")
+        hit = hit.drop("rank")
         done = hit if done is None else done.unionByName(hit)
-        todo = todo.join(hit.select(key), key, "left_anti")
+        todo = todo.join(hit.select(key).distinct(), key, "left_anti")
         if radius >= max_km or todo.isEmpty():
             return done
         radius *= 4

@@ -171,29 +171,57 @@ def readings(figs: DataFrame) -> DataFrame:
     return figs.withColumn("_a", F.explode(alt)).select("*", F.abs("_a.c").alias("cand"), F.col("_a.ct").alias("ctol")).drop("_a")
 
 
-def check_figures(figs: DataFrame, facts: DataFrame, doc: str) -> DataFrame:
-    """Status of every figure against the facts of its document: verified, calculated or not_found.
+#: Beyond every fact: the end of an interval without an upper bound.
+_BEYOND = 1e15
+
+
+def _in_buckets(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Rows once for each bucket between two positive bounds."""
+    return df.withColumn("_b", F.explode(F.sequence(_bucket(F.greatest(lo, F.lit(0.0))), _bucket(F.least(F.greatest(hi, lo, F.lit(0.0)), F.lit(_BEYOND))))))
 
-    ``figs`` needs (fig_id, doc, value, unit, tol); ``facts`` (doc, parent, number). The tolerance
-    band of a reading is exploded into log-scaled buckets and equi-joined; derived values
-    (difference, ratio, percent) of facts with one parent meet the remaining figures the same way.
-    """
-    num = facts.select(doc, "parent", F.abs("number").alias("x")).filter("x IS NOT NULL").distinct()
 
-    def probe(r: DataFrame, target: DataFrame, status: str) -> DataFrame:
-        p = r.withColumn("b", F.explode(F.sequence(_bucket(F.greatest(F.col("cand") - F.col("ctol"), F.lit(0.0))), _bucket(F.col("cand") + F.col("ctol")))))
-        j = p.join(target.withColumn("b", _bucket(F.col("x"))), [doc, "b"]).filter(F.abs(F.col("x") - F.col("cand")) <= F.col("ctol") + 1e-9)
-        return j.select(doc, "fig_id").distinct().withColumn("status", F.lit(status))
+def _context_score(own: tuple[str, ...], given: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether the contexts of a figure and a fact agree, and how well: two for a common station, one for a common time, up to two for common words."""
+    ok, score = F.lit(True), F.lit(0)
+    for name, weight, most in (("stations", 2, 1), ("times", 1, 1), ("words", 1, 2)):
+        if name in own and name in given:
+            common = F.size(F.array_intersect(F.col(name), F.col(f"_{name}")))
+            score = score + weight * F.least(common, F.lit(most))
+            if name != "words":  # another station or another time is another fact
+                ok = ok & ((F.size(name) == 0) | (F.size(f"_{name}") == 0) | (common > 0))
+    return ok, score
 
+
+def check_figures(figs: DataFrame, facts: DataFrame, doc: str, min_score: int = 0) -> DataFrame:
+    """Status of every figure against the facts of its document: verified, calculated or not_found.
+
+    ``figs`` needs (fig_id, doc, value, unit, tol); ``facts`` (doc, parent, number). Both may carry the arrays ``stations``, ``times`` and ``words`` of
+    their context: a fact about other stations or times doesn't count, and the score of the rest must reach ``min_score``.
+    A figure is verified if a fact lies within its tolerance, and calculated if it is the difference, the ratio or the percentage between two facts of
+    one parent. Neither needs pairs of facts: with a figure and one fact, the other fact lies in a known interval, which meets the facts in an
+    equi-join on log-scaled buckets.
+    """
+    extra = [c for c in ("stations", "times", "words") if c in facts.columns]
+    num = facts.select(doc, "parent", F.abs("number").alias("x"), *[F.col(c).alias(f"_{c}") for c in extra]).filter("x IS NOT NULL")
+    num = num.distinct().withColumn("_b", _bucket(F.col("x")))
+    ok, score = _context_score(tuple(figs.columns), tuple(facts.columns))
     r = readings(figs)
-    ok = probe(r, num, "verified")
-    rest = r.join(ok.select(doc, "fig_id"), [doc, "fig_id"], "left_anti")
-    a, b = num, num.withColumnRenamed("x", "y")
-    pairs = a.join(b, [doc, "parent"]).filter("x <> y")
-    d = F.array(F.abs(F.col("x") - F.col("y")), F.try_divide("x", "y"), F.abs(F.try_divide("x", "y") - 1) * 100)
-    derived = pairs.select(doc, F.explode(d).alias("x")).filter("x IS NOT NULL").distinct()
-    calc = probe(rest, derived, "calculated")
-    s = ok.unionByName(calc)
+    c, tol = F.col("cand"), F.col("ctol")
+    hit = _in_buckets(r, c - tol, c + tol).join(num, [doc, "_b"]).filter((F.abs(F.col("x") - c) <= tol + 1e-9) & ok & (score >= min_score))
+    found = hit.select(doc, "fig_id").distinct().withColumn("status", F.lit("verified"))
+    rest = r.join(found.select(doc, "fig_id"), [doc, "fig_id"], "left_anti")
+    one = rest.join(num.drop("_b"), doc).filter(ok & (score >= min_score)).drop(*[f"_{n}" for n in extra])
+    x = F.col("x")
+    over = lambda v: F.when(v > 1e-12, x / v).otherwise(F.lit(_BEYOND))
+    up, down, part = (c + tol) / 100, (c - tol) / 100, lambda lo, hi: F.struct((lo - 1e-6).alias("lo"), (hi + 1e-6).alias("hi"))
+    spans = F.array(part(x - c - tol, x - c + tol), part(x + c - tol, x + c + tol), part(over(c + tol), over(c - tol)), part(over(1 + up), over(1 + down)), part(over(1 - down), over(1 - up)))
+    one = one.select(doc, "fig_id", "parent", "x", "cand", "ctol", F.explode(spans).alias("_s")).filter("_s.hi >= 0")
+    one = _in_buckets(one, F.col("_s.lo"), F.col("_s.hi")).select(doc, "fig_id", "parent", "x", "cand", "ctol", "_b").distinct()
+    j = one.join(num.select(doc, "parent", F.col("x").alias("y"), "_b").distinct(), [doc, "parent", "_b"]).filter("x <> y")
+    near = lambda v: F.coalesce(F.abs(v - c) <= tol + 1e-9, F.lit(False))
+    y = F.col("y")
+    calc = j.filter(near(F.abs(x - y)) | near(F.try_divide(x, y)) | near(F.abs(F.try_divide(x, y) - 1) * 100))
+    s = found.unionByName(calc.select(doc, "fig_id").distinct().withColumn("status", F.lit("calculated")))
     return figs.join(s, [doc, "fig_id"], "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
 
 

@@ -1,4 +1,4 @@
-"""Passenger messages in three languages and two channels, as a join with a template table."""
+"""Passenger messages in three languages and three channels, as a join with a template table."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ REASONS = [
     ("track maintenance", "for work on the track", "wegen Gleisarbeiten", "pour des travaux sur la voie"),
     ("power system maintenance", "for work on the power supply", "wegen Arbeiten am Stromnetz", "pour des travaux électriques"),
     ("signal failure", "after a signal fault", "nach einer Signalstörung", "après une panne de signal"),
+    ("track works", "for work on the track", "wegen Gleisarbeiten", "pour des travaux sur la voie"),
+    ("escalator works", "for work on an escalator", "wegen Arbeiten an einer Rolltreppe", "pour des travaux sur un escalier mécanique"),
+    ("police operation", "for a police operation", "wegen eines Polizeieinsatzes", "pour une intervention de la police"),
+    ("technical fault", "after a technical fault", "nach einer technischen Störung", "après un incident technique"),
     ("", "for operational reasons", "aus betrieblichen Gründen", "pour des raisons d'exploitation"),
 ]
 TEMPLATES = [
@@ -22,6 +26,18 @@ TEMPLATES = [
     ("station", "en", "display", "{a}: closed until {until}"),
     ("station", "de", "display", "{a}: geschlossen bis {until} Uhr"),
     ("station", "fr", "display", "{a} : fermée jusqu'à {until}"),
+    ("station", "en", "app", "{a} stays closed {reason} until about {until}. Other ways: {alt}."),
+    ("station", "de", "app", "{a} bleibt {reason} bis etwa {until} Uhr geschlossen. Andere Wege: {alt}."),
+    ("station", "fr", "app", "{a} reste fermée {reason} jusque vers {until}. Autres possibilités : {alt}."),
+    ("line", "en", "app", "No {line} trains from {a} to {b} {reason} until about {until}; they run on the rest of the line. Other ways: {alt}."),
+    ("line", "de", "app", "Keine {line} zwischen {a} und {b} {reason} bis etwa {until} Uhr; auf der übrigen Strecke fährt sie. Andere Wege: {alt}."),
+    ("line", "fr", "app", "Pas de {line} de {a} à {b} {reason} jusque vers {until} ; elle circule sur le reste de la ligne. Autres possibilités : {alt}."),
+    ("event", "en", "app", "Crowds are expected around {until}. Other ways: {alt}."),
+    ("event", "de", "app", "Gegen {until} Uhr wird es voll. Andere Wege: {alt}."),
+    ("event", "fr", "app", "Affluence vers {until}. Autres possibilités : {alt}."),
+    ("event", "en", "display", "Crowds around {until}: use {alt}"),
+    ("event", "de", "display", "Andrang gegen {until} Uhr: {alt} nutzen"),
+    ("event", "fr", "display", "Affluence vers {until} : prenez {alt}"),
     ("line", "en", "announcement", "{line} does not run from {a} to {b} {reason} until {until}. Please use {alt}."),
     ("line", "de", "announcement", "{line} fährt zwischen {a} und {b} {reason} bis {until} Uhr nicht. Bitte nutzen Sie {alt}."),
     ("line", "fr", "announcement", "{line} ne circule pas de {a} à {b} {reason} jusqu'à {until}. Merci d'utiliser {alt}."),

@@ -68,4 +68,35 @@ def test_paths_of_a_grid_without_listing_them(spark):
     assert got["n", 1] == [name(3, 3), name(3, 4)] and len(got["n", 2]) == 4 and got["n", 2][1] == name(2, 3)
 
 
+def test_proximity_near_poles_and_the_date_line(spark):
+    import math
+
+    rng = random.Random(9)
+    pts = [(i, rng.choice([89.9, -89.95, 70.0, 0.0]) + rng.uniform(-0.05, 0.05), rng.choice([179.97, -179.97, 13.0]) + rng.uniform(-0.04, 0.04)) for i in range(150)]
+    pts = [(i, la, (lo + 180) % 360 - 180) for i, la, lo in pts]
+
+    def km(a, b):
+        p = math.pi / 180
+        h = math.sin((b[1] - a[1]) * p / 2) ** 2 + math.cos(a[1] * p) * math.cos(b[1] * p) * math.sin((b[2] - a[2]) * p / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    d = spark.createDataFrame(pts, "id int, lat double, lon double")
+    for radius in (3.0, 800.0):
+        want = {(a[0], b[0]) for a in pts for b in pts if a[0] < b[0] and km(a, b) <= radius}
+        assert want and {(r.id, r.other) for r in jn.too_close_pairs(d, "id", radius).collect()} == want
+    far = spark.createDataFrame([(1, -40.0, 2.0)], "id int, lat double, lon double")
+    got = jn.nearest(far, d.toDF("sid", "lat", "lon"), "id", "sid", k=2).collect()
+    assert {r.sid for r in got} == {p[0] for p in sorted(pts, key=lambda b: km((0, -40.0, 2.0), b))[:2]}
+
+
+def test_mentions_keep_equal_rows_and_span_blocks(spark):
+    texts = spark.createDataFrame([(1, "old town hall"), (1, "old town hall"), (2, None), (3, "")], "id int, text string")
+    al = spark.createDataFrame([("old town",), ("old town hall",), ("town",), ("hall",)], "alias string")
+    for size in (200_000, 1, 2):
+        got = sorted((r.id, r.alias, r.pos) for r in jn.mentions(texts, al, block_aliases=size).collect())
+        assert got == sorted([(1, "old town hall", 1), (1, "town", 5), (1, "hall", 10)] * 2)
+    every = [(r.alias, r.pos) for r in jn.mentions(texts.limit(1), al, longest=False).collect()]
+    assert sorted(every) == [("hall", 10), ("old town", 1), ("old town hall", 1), ("town", 5)]
+
+
 _ = (itertools, F)
