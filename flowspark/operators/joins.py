@@ -127,13 +127,13 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_k
     """
     todo, done, radius = left, None, start_km
     while True:
-        hit = nearest_k(todo, right, key, right_key, radius, k)
+        hit = cut(nearest_k(todo, right, key, right_key, radius, k))
         if radius < max_km:
             full = hit.filter(F.col("rank") == k).select(key)
             hit = hit.join(full, key, "left_semi")
         hit = hit.drop("rank")
         done = hit if done is None else done.unionByName(hit)
-        todo = todo.join(hit.select(key).distinct(), key, "left_anti")
+        todo = cut(todo.join(hit.select(key).distinct(), key, "left_anti"))
         if radius >= max_km or todo.isEmpty():
             return done
         radius *= 4
