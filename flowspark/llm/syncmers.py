@@ -2,11 +2,12 @@
 
 A k-mer of characters is a closed syncmer when the smallest of its s-mers is its first or its last one. Whether it is chosen
 depends on nothing around it, so an edit changes only the anchors it touches, and anchors of a kept part stay, at their distance
-from each other. A fingerprint holds the anchors with the smallest hashes, each with its position, in order of position. Two
-fingerprints are as alike as the longest run of common anchors in the same order is long, against the smallest hashes of both.
+from each other. A fingerprint holds every anchor whose own hash falls into a fixed share of all hashes, each with its position, in
+order of position: it grows with the text, and no other anchor has a say in it. Two fingerprints are as alike as the longest run of
+common anchors in the same order is long, against all anchors of both.
 
 Defined cases: a null text is the empty one; the empty text has the empty fingerprint, alike 1 to itself and 0 to any
-other; a text shorter than k has one anchor of all its characters; rows with equal ids follow each other in order of text,
+other; a text shorter than k has one anchor of all its characters, a text none of whose anchors falls into the share keeps the one of smallest hash; rows with equal ids follow each other in order of text,
 a missing id comes first; a single row is its own successor; repeated rows are rows of their own; an empty table gives an
 empty result; extra columns are ignored. Whole texts are read.
 """
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 from flowspark.llm.hashing import mix, rolling
 
-K, S, ANCHORS = 16, 6, 64
+K, S = 16, 6
+#: One of so many anchors is kept, by its own hash.
+SHARE = 8
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -50,22 +53,17 @@ def syncmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
         return mix(whole) >> np.uint64(32), at
 
 
-def choose(hashes: np.ndarray, at: np.ndarray, codes: np.ndarray, anchors: int = ANCHORS) -> dict[int, int]:
+def choose(hashes: np.ndarray, at: np.ndarray, codes: np.ndarray, share: int = SHARE) -> dict[int, int]:
     """hash -> first position of the anchors kept."""
     if not len(hashes):
         if not len(codes):
             return {}
         return {int(rolling(codes, len(codes))[0] >> np.uint64(32)): 0}
-    order = np.lexsort((at, hashes)) if len(hashes) <= 4 * anchors else None
-    if order is None:
-        # only hashes up to a bound that surely holds enough distinct ones are sorted
-        near = np.flatnonzero(hashes <= np.partition(hashes, 4 * anchors - 1)[4 * anchors - 1])
-        order = near[np.lexsort((at[near], hashes[near]))]
-        if len(np.unique(hashes[order])) < anchors:
-            order = np.lexsort((at, hashes))
-    h, p = hashes[order], at[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
-    return dict(zip(h[first][:anchors].tolist(), p[first][:anchors].tolist()))
+    kept = np.flatnonzero(hashes < np.uint64((1 << 32) // share))
+    if not len(kept):
+        kept = np.flatnonzero(hashes == hashes.min())
+    h, p = hashes[kept], at[kept]
+    return dict(zip(h[::-1].tolist(), p[::-1].tolist()))  # positions rise: of equal hashes the first one stays
 
 
 def write(chosen: dict[int, int]) -> str:
@@ -76,22 +74,21 @@ def read(fingerprint: str) -> dict[int, int]:
     return {int(x[:8], 16): int(x[9:]) for x in fingerprint.split()}
 
 
-def likeness(a: dict[int, int], b: dict[int, int], anchors: int = ANCHORS) -> float:
-    """Length of the longest common run of anchors in order, against the smallest hashes of both."""
+def likeness(a: dict[int, int], b: dict[int, int]) -> float:
+    """Length of the longest common run of anchors in order, against all anchors of both."""
     if not a or not b:
         return float(a == b)
-    both = sorted(a.keys() | b.keys())[:anchors]
-    shared = sorted((a[h], b[h]) for h in both if h in a and h in b)
+    shared = sorted((a[h], b[h]) for h in a.keys() & b.keys())
     tails: list[int] = []
     for _, p in shared:
         i = bisect_left(tails, p)
         tails[i : i + 1] = [p]
-    return len(tails) / len(both)
+    return len(tails) / (len(a) + len(b) - len(shared))
 
 
-def fingerprint(text: str | None, k: int = K, s: int = S, anchors: int = ANCHORS) -> str:
+def fingerprint(text: str | None, k: int = K, s: int = S, share: int = SHARE) -> str:
     codes = codes_of(text or "")
-    return write(choose(*syncmers(codes, k, s), codes, anchors))
+    return write(choose(*syncmers(codes, k, s), codes, share))
 
 
 class Print:

@@ -30,6 +30,16 @@ def test_likeness():
     assert y.fingerprint("") == "" and y.fingerprint("abc") != y.fingerprint("abd")
 
 
+def test_anchors_follow_from_themselves():
+    """Every anchor of a long text's fingerprint is kept or not whatever else the text holds, and their number grows with it."""
+    rng = random.Random(5)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    alone, inside = y.read(y.fingerprint(part)), y.read(y.fingerprint(other + part + other))
+    assert len(alone) > 40 and len(inside) > 4000
+    assert all(h in inside for h in alone)
+
+
 def test_successors_and_edits_against_a_plain_loop(spark):
     rng = random.Random(9)
     rows = [(i * 3, "".join(rng.choice("abc dé漢") for _ in range(rng.choice([0, 1, 3, 40, 300])))) for i in range(150)]
