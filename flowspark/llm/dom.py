@@ -5,8 +5,9 @@ what its class and id say) speak for either; a potential for each tag ties a nod
 from the leaves upward, then from the root downward, give each node's marginal; the text of nodes above one half is kept.
 
 The potentials are counted on labelled pages: pages with an ``article`` or ``main`` element mark their own content, less the
-parts whose tag or class names something else. Pseudo-counts carry what is known beforehand: children mostly follow their
-parent; menus, asides, forms, notices, adverts and comments are no content.
+parts whose tag names something else. Pseudo-counts carry what is known beforehand, and give way to counts: children mostly follow
+their parent, also those of tags no page has shown; menus, asides, forms, notices, adverts and comments are no content. What the names of an
+element say is evidence about that element alone; an element that holds an article is never put aside for its name.
 
 Defined cases: a null or empty page has no text; broken markup is read as far as it goes (missing end tags, stray end tags,
 an unclosed comment); a page without text gives the empty text; without labelled pages the pseudo-counts decide alone;
@@ -39,6 +40,10 @@ OTHER_PARTS = frozenset("nav header footer aside form dialog menu button search
 BAD = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice alert subscribe subscription newsletter signup login register share sharing social related recommended recommendations sidebar side aside widget menu nav navigation navbar breadcrumb breadcrumbs toolbar header masthead footer copyright legal disclaimer comment comments commentlist disqus reply replies respond discussion reviews pagination pager tags meta byline toc skip search form".split())
 GOOD = frozenset("article content post entry main story body text prose maincontent articlebody".split())
 
+#: Words that say nothing about what an element holds, and words that say what a page has or lacks elsewhere.
+NEUTRAL = frozenset("site page main left right top bottom box block blocks list lists item items wrap wrapper container area section slot bar link links inner outer global primary secondary post posts story article articles content column col row panel button buttons group unit holder region the a new more js mobile desktop fixed sticky".split())
+ELSEWHERE = frozenset("has no with without is not".split())
+
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _NAME = re.compile(r"[a-z]+")
@@ -52,24 +57,42 @@ class Node:
     runs: list[tuple[int, str]] = field(default_factory=list)
     chars: int = 0
     linked: int = 0
-    apart: bool = False  # in or below an element that names something else than content
+    apart: bool = False  # names something else than content
+    within: bool = False  # below an element that does
 
     @property
     def bond(self) -> str:
         """Name of the potential that ties the node to its parent."""
-        return f"{self.tag}/apart" if self.apart else self.tag
+        return f"{self.tag}/apart" if self.apart else f"{self.tag}/within" if self.within else self.tag
 
 
-def _hint(attrs: str) -> str:
-    if not attrs.strip():
+def _hint(tag: str, attrs: str) -> str:
+    """What the names of an element say about itself: every word of a name must agree that it is no content."""
+    if not attrs.strip() or tag in ("html", "body", "main", "article"):
         return "none"
-    said = []
+    bad = False
     for name, value in _ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-            said += _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(value)).lower())
-    if any(w in BAD for w in said):
-        return "bad"
-    return "good" if any(w in GOOD for w in said) else "none"
+        if name.lower() not in ("class", "id", "role", "itemprop", "aria-label"):
+            continue
+        for one in html.unescape(value).strip("\"'").split():
+            said = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
+            if any(w in ELSEWHERE for w in said):
+                continue
+            if any(w in GOOD for w in said) and not any(w in BAD for w in said):
+                return "good"
+            bad |= any(w in BAD for w in said) and all(w in BAD or w in NEUTRAL or w in GOOD for w in said)
+    return "bad" if bad else "none"
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Which nodes name something else than content. What holds an article or main element is no such part, whatever its name."""
+    holds = [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i] or nodes[i].tag in ("article", "main")
+    for i, node in enumerate(nodes[1:], 1):
+        above = nodes[node.parent]
+        node.apart = (node.tag in OTHER_PARTS or node.hint == "bad") and not holds[i]
+        node.within = not node.apart and (above.apart or above.within) and node.tag not in ("article", "main")
 
 
 def parse(page: str | None) -> list[Node]:
@@ -145,10 +168,10 @@ def parse(page: str | None) -> list[Node]:
                     break
                 if stack[i][0] in SCOPE.get(tag, ()):
                     break
-        nodes.append(Node(tag if tag in BLOCKS else "other", stack[-1][1], hint := _hint(attrs)))
-        nodes[-1].apart = nodes[stack[-1][1]].apart or tag in OTHER_PARTS or hint == "bad"
+        nodes.append(Node(tag if tag in BLOCKS else "other", stack[-1][1], _hint(tag, attrs)))
         stack.append((tag, len(nodes) - 1))
     flush()
+    _settle(nodes)
     return nodes
 
 
@@ -163,12 +186,14 @@ def features(node: Node) -> tuple[str, ...]:
 
 
 KINDS = {"hint": 3, "links": 4, "size": 4, "ends": 2}
-#: Pseudo-counts (of 0, of 1) known before any page is seen.
+#: Pseudo-counts (of 0, of 1) known before any page is seen; they don't grow with the pages and give way to them.
 PRIOR = {"hint=bad": (60.0, 0.2), "hint=good": (0.5, 4.0), "links=3": (8.0, 0.5), "size=3": (1.0, 4.0), "size=2": (1.0, 2.0), "ends=1": (1.0, 3.0)}
-STAY, CHANGE = 30.0, 1.0
-#: Elements that may begin the content inside something else; for all others that is ``SETTLED`` times less likely.
+STAY, CHANGE = 300.0, 1.0
+#: Share of an even distribution in what the pages teach about the text of a single node: a short line or a list item that no page had in its article stays possible.
+EVEN = 0.3
+#: Elements that may begin the content inside something else; for all others, and below elements that name something else, that is ``SETTLED`` times less likely.
 CONTAINERS = frozenset("body main article section div other td table center".split())
-SETTLED = 100.0
+BEGIN, SETTLED = 30.0, 100.0
 
 
 @dataclass
@@ -226,7 +251,7 @@ def own_labels(nodes: list[Node]) -> list[int] | None:
         starts = node.tag in ("article", "main")
         found |= starts
         inside = starts or (node.parent >= 0 and marks[node.parent] == 1)
-        marks[i] = int(inside and node.tag not in OTHER_PARTS and node.hint != "bad")
+        marks[i] = int(inside and (node.tag not in OTHER_PARTS or starts))
     return marks if found else None
 
 
@@ -235,28 +260,28 @@ def model_from(counts: dict[tuple[str, str, int, int], int]) -> Model:
     unary = {}
     for kind, n in KINDS.items():
         names = [f"{kind}={v}" for v in (("bad", "good", "none") if kind == "hint" else range(n))]
-        # what is known beforehand weighs against the counts at any number of pages: it is scaled with them
-        seen = {f: [float(counts.get(("f", f, 0, y), 0)) for y in (0, 1)] for f in names}
-        scale = max(1.0, sum(sum(v) for v in seen.values()) / 1000.0)
-        both = {f: [seen[f][y] + scale * (1.0 + PRIOR.get(f, (0.0, 0.0))[y]) for y in (0, 1)] for f in names}
+        both = {f: [float(counts.get(("f", f, 0, y), 0)) + 1.0 + PRIOR.get(f, (0.0, 0.0))[y] for y in (0, 1)] for f in names}
         total = [sum(v[y] for v in both.values()) for y in (0, 1)]
-        unary |= {f: (math.log(v[0] / total[0]), math.log(v[1] / total[1])) for f, v in both.items()}
+        even = 0.0 if kind == "hint" else EVEN
+        unary |= {f: tuple(math.log((1 - even) * v[y] / total[y] + even / len(names)) for y in (0, 1)) for f, v in both.items()}
     pair = {}
-    for tag, bond in [(t, b) for t in BLOCKS for b in (t, f"{t}/apart")]:
-        rows = []
-        for above in (0, 1):
-            c = [float(counts.get(("t", bond, above, y), 0)) for y in (0, 1)]
-            scale = max(1.0, sum(c) / 1000.0)
-            prior = [CHANGE, STAY] if above and tag not in OTHER_PARTS else [STAY, CHANGE]
-            if bond != tag or tag in OTHER_PARTS:
-                prior = [STAY * 10, 0.1]
-            elif not above and bond in ("article", "main"):
-                prior = [CHANGE, STAY]
-            if not above and (tag not in CONTAINERS or bond != tag):
-                prior = [prior[0] * SETTLED, prior[1]]
-            c = [a + scale * b for a, b in zip(c, prior)]
-            rows.append((math.log(c[0] / sum(c)), math.log(c[1] / sum(c))))
-        pair[bond] = (rows[0], rows[1])
+    for tag in BLOCKS:
+        for bond in (tag, f"{tag}/apart", f"{tag}/within"):
+            rows = []
+            for above in (0, 1):
+                if bond.endswith("/apart"):
+                    prior = [STAY, 0.03]
+                elif above:
+                    prior = [CHANGE, STAY]
+                elif tag in ("article", "main"):
+                    prior = [CHANGE, BEGIN]
+                elif tag in CONTAINERS and bond == tag:
+                    prior = [BEGIN, CHANGE]
+                else:
+                    prior = [BEGIN * SETTLED, CHANGE]
+                c = [float(counts.get(("t", bond, above, y), 0)) + prior[y] for y in (0, 1)]
+                rows.append((math.log(c[0] / sum(c)), math.log(c[1] / sum(c))))
+            pair[bond] = (rows[0], rows[1])
     return Model(unary, pair, (math.log(0.95), math.log(0.05)))
 
 

@@ -62,6 +62,41 @@ def test_page_without_an_article_element(model):
     assert model.text(page) == "\n\n".join(["Story", LONG.strip(), LONG.strip()])
 
 
+BODY = f"<h1>Head</h1><p>{LONG}</p><p>Short one.</p>"
+WANT = "\n\n".join(["Head", LONG.strip(), "Short one."])
+AROUND = f'<nav><a href=1>Home</a></nav>%s<footer><p>{LONG}</p></footer>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="right-sidebar">{AROUND % f"<article>{BODY}</article>"}</body>', f'<body>{AROUND % f"<main class=&quot;content has-sidebar&quot;>{BODY}</main>".replace("&quot;", chr(34))}</body>',
+    f'<body>{AROUND % f"<article class=@post category-legal tag-share@>{BODY}</article>".replace("@", chr(34))}</body>', f'<body><div id="page" class="no-sidebar">{AROUND % f"<article>{BODY}</article>"}</div></body>',
+    f'<body><form id="aspnetForm">{AROUND % f"<article>{BODY}</article>"}</form></body>', f'<body><div class="sidebar-left widget">{AROUND % f"<main>{BODY}</main>"}</div></body>',
+    f'<body>{AROUND % f"<article><div class=@legal-analysis@>{BODY}</div></article>".replace("@", chr(34))}</body>', f'<body>{AROUND % f"<article><section id=@comments-on-war@>{BODY}</section></article>".replace("@", chr(34))}</body>',
+    f'<body>{AROUND % f"<div class=@entry-content@>{BODY}</div>".replace("@", chr(34))}</body>', f'<body><div><div>{AROUND % f"<main><article>{BODY}</article></main>"}</div></div></body>',
+])
+def test_layouts_keep_their_article(model, page):
+    assert model.text(page) == WANT
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<ul><li>One</li><li>200 g flour</li></ul>", ["One", "200 g flour"]), ("<table><tr><td>12</td><td>kg</td></tr></table>", ["12", "kg"]), ("<dl><dt>Term</dt><dd>What it means</dd></dl>", ["Term", "What it means"]),
+    ("<figure><img src=x><figcaption>A picture</figcaption></figure>", ["A picture"]), ("<details><summary>More</summary>Inside</details>", ["More", "Inside"]), ("<p><a href=x>The whole report</a></p>", ["The whole report"]),
+    ("<blockquote>so</blockquote>", ["so"]), ("<pre>x = 1</pre>", ["x = 1"]), ("<h2>Next</h2>", ["Next"]), ("<ol><li><a href=x>Source</a></li></ol>", ["Source"]),
+])
+def test_blocks_inside_an_article_stay(model, inner, want):
+    page = AROUND % f"<article><h1>Head</h1><p>{LONG}</p>{inner}<p>{LONG}</p></article>"
+    assert model.text(page) == "\n\n".join(["Head", LONG.strip(), *want, LONG.strip()])
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="advert">Buy now.</div>', '<div class="ad-slot"><p>%s</p></div>', '<section class="comments"><div><div><p>%s</p><p>%s</p></div><div><p>%s</p></div></div></section>', '<aside><p>%s</p></aside>',
+    '<form><p>%s</p></form>', '<div id="cookie-notice"><p>%s</p></div>', '<div class="related-posts"><ul><li><a href=1>%s</a></li></ul></div>', '<nav><p>%s</p></nav>', '<div class="share-buttons">Share this.</div>',
+])
+def test_other_parts_inside_an_article_go(model, part):
+    page = AROUND % f"<article><h1>Head</h1><p>{LONG}</p>{part.replace('%s', LONG)}<p>Short one.</p></article>"
+    assert model.text(page) == WANT
+
+
 def test_broken_and_empty_pages(model):
     assert [model.text(p) for p in (None, "", "   ", "<", "<!-- open", "<p", "</p></div>", "<script>x")] == [""] * 3 + [model.text("<"), "", "", "", ""]
     assert model.text("<article><p><b>First line.<br><p>Second one &am</p>") == "First line.\n\nSecond one &am"
