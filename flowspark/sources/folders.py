@@ -33,7 +33,7 @@ class Dialect:
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, size, modified) of all files below a folder; contents are not read."""
+    """(file, size, modified) of all files with content below a folder; contents are not read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
