@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowspark.config import DEFAULT_CLOCK, Clock
 from flowspark.functions import text as tx
+from flowspark.functions.lineage import cut
 from flowspark.functions import time as t
 from flowspark.operators.graph import cheapest_states, bfs, undirected
 from flowspark.operators.grid import window_spine
@@ -82,7 +83,7 @@ def parse_closures(closures: DataFrame, stations: DataFrame, line_stops: DataFra
     """
     c = closure_fields(closures)
     names = c.select(F.explode(F.array_compact(F.array("name_a", "name_b"))).alias("request"))
-    res = resolve_names(names, stations).select("request", "candidates", "match_kind")
+    res = cut(resolve_names(names, stations).select("request", "candidates", "match_kind"))
     ra = res.select(F.col("request").alias("name_a"), F.col("candidates").alias("ca"), F.col("match_kind").alias("ka"))
     rb = res.select(F.col("request").alias("name_b"), F.col("candidates").alias("cb"), F.col("match_kind").alias("kb"))
     c = c.join(ra, "name_a", "left").join(rb, "name_b", "left")
