@@ -573,3 +573,19 @@ def messages(n):
 @register("f14_message_texts", "item_id:i kind lang channel message")
 def _(n):
     return messages(n)
+
+
+@register("a9_peak_confounders", "station_key cday:d slot:t events:i closures:i event_names:a crowd", ctes="dd vkm crowd closures suspensions stations", sql="""
+WITH p AS (SELECT station_key, cday, first(slot ORDER BY reading DESC, slot) slot FROM dd GROUP BY 1,2),
+e AS (SELECT p.station_key, p.slot, count(DISTINCT crowd_id) n, list_sort(list(DISTINCT event_name)) names, max(attendance) most FROM p JOIN vkm k ON k.station_key=p.station_key AND k.km<=1.5 JOIN crowd c ON c.venue_key=k.venue_key AND p.slot>=c.start-INTERVAL 90 MINUTE AND p.slot<=c."end"+INTERVAL 60 MINUTE GROUP BY 1,2),
+c AS (SELECT station_key, slot, count(*) n FROM (SELECT DISTINCT p.station_key, p.slot, CAST(closure_id AS VARCHAR) id FROM p JOIN closures c ON c.station_key=p.station_key AND p.slot>=c.start AND p.slot<c."end"
+UNION SELECT DISTINCT p.station_key, p.slot, 'line '||closure_id FROM p JOIN stations s ON s.station_key=p.station_key JOIN suspensions u ON list_contains(s.lines, u.line) AND p.slot>=u.start AND p.slot<u."end") GROUP BY 1,2)
+SELECT p.station_key, p.cday, p.slot, coalesce(e.n,0) "events", coalesce(c.n,0) closures, coalesce(names, []) event_names, CASE WHEN most>=1500 THEN 'high' WHEN most>=800 THEN 'medium' WHEN most IS NOT NULL THEN 'low' END crowd
+FROM p LEFT JOIN e ON e.station_key=p.station_key AND e.slot=p.slot LEFT JOIN c ON c.station_key=p.station_key AND c.slot=p.slot""")
+def _(n):
+    """Daily peaks with the events and closures around them."""
+    from flowspark.operators.stats import calendar, first_argmax
+
+    p = calendar(n.dense).groupBy("station_key", "cday").agg(first_argmax("slot", "reading", t.slot_no("slot")).alias("slot"))
+    lines = n.suspensions.select("closure_id", F.regexp_extract("description", r"^Line (\S+) ", 1).alias("line"), "start", "end")
+    return pk.peak_confounders(p, n.crowd_events, n.venues, n.stations, n.closures, lines, n.clock)

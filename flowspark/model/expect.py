@@ -143,6 +143,15 @@ def window_table(risk: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     return z_columns(j.groupBy(key, "station_key").agg(*window_sums()))
 
 
+def compare_to_model(risk: DataFrame, by: tuple[str, ...] = ("station_key", "day")) -> DataFrame:
+    """Observed totals against the model with and without events, as ratios, and the part of the model's total that events make."""
+    g = risk.groupBy(*by).agg(F.sum("reading").alias("observed"), F.sum("expected").alias("model"), F.sum("expected0").alias("without_events"))
+    return g.select(
+        "*", F.try_divide("observed", "model").alias("vs_model"), F.try_divide("observed", "without_events").alias("vs_without_events"),
+        F.try_divide(F.col("model") - F.col("without_events"), F.col("model")).alias("event_part"),
+    )
+
+
 def window_sums() -> list:
     return [
         F.sum("reading").alias("observed"), F.sum("expected0").alias("normal"), F.sum("expected").alias("model"),

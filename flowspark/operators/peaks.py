@@ -11,7 +11,7 @@ from flowspark.operators import windows as win
 from flowspark.operators.closures import section_roles
 from flowspark.operators.graph import undirected
 from flowspark.operators.grid import window_spine
-from flowspark.operators.joins import within_km
+from flowspark.operators.joins import closed_slots, within_km
 from flowspark.operators.stats import load_band
 
 AM, PM = (8, 15), (48, 55)  # 07:00-08:45 and 17:00-18:45 as positions in the service day
@@ -131,3 +131,30 @@ def feedback_rollup(log: DataFrame) -> DataFrame:
 
 def last_comments(log: DataFrame, k: int = 10) -> DataFrame:
     return log.filter("comment IS NOT NULL").orderBy(F.col("time").desc()).limit(k)
+
+
+# What counts as near an event, how long before and after it, and its size classes.
+NEAR_EVENT_KM, BEFORE_EVENT_MIN, AFTER_EVENT_MIN = 1.5, 90, 60
+LARGE_CROWD, MEDIUM_CROWD = 1500, 800
+
+
+def peak_confounders(peaks: DataFrame, events: DataFrame, venues: DataFrame, stations: DataFrame, closures: DataFrame, line_closures: DataFrame | None = None, clock: Clock = DEFAULT_CLOCK) -> DataFrame:
+    """What else may explain a peak (station_key, cday, slot): events in walking distance around its slot, closures of the station or of a line it is on.
+
+    ``line_closures`` holds (closure_id, line, start, end). Returns the peaks with ``events`` and ``closures`` (numbers), ``event_names`` (sorted) and ``crowd``
+    (high, medium or low by the largest attendance, null without events). Events and closures are exploded into slots and meet the peaks by station and slot.
+    """
+    near = within_km(venues, stations.select("station_key", "lat", "lon"), NEAR_EVENT_KM).select("venue_key", "station_key")
+    w = events.select("crowd_id", "event_name", "attendance", "venue_key", (F.col("start") - t.minutes(BEFORE_EVENT_MIN)).alias("start"), (F.col("end") + t.minutes(AFTER_EVENT_MIN)).alias("end"))
+    at = window_spine(w, clock).filter(F.col("slot") >= F.col("start")).select("crowd_id", "event_name", "attendance", "venue_key", "slot").join(near, "venue_key")
+    key = ["station_key", "slot"]
+    e = peaks.select(*key).distinct().join(at, key).groupBy(*key).agg(F.count_distinct("crowd_id").alias("events"), F.array_sort(F.collect_set("event_name")).alias("event_names"), F.max("attendance").alias("_most"))
+    shut = closed_slots(closures, clock).select("station_key", "slot", F.col("closure_id").cast("string").alias("id"))
+    if line_closures is not None:
+        on = stations.select("station_key", F.explode("lines").alias("line"))
+        lc = line_closures.select(F.concat(F.lit("line "), F.col("closure_id").cast("string")).alias("id"), "line", "start", "end").join(on, "line")
+        shut = shut.unionByName(window_spine(lc, clock, inclusive=False).filter(F.col("slot") >= F.col("start")).select("station_key", "slot", "id"))
+    c = peaks.select(*key).distinct().join(shut, key).groupBy(*key).agg(F.count_distinct("id").alias("closures"))
+    out = peaks.join(e, key, "left").join(c, key, "left").na.fill(0, ["events", "closures"])
+    crowd = F.when(F.col("_most") >= LARGE_CROWD, "high").when(F.col("_most") >= MEDIUM_CROWD, "medium").when(F.col("_most").isNotNull(), "low")
+    return out.withColumn("event_names", F.coalesce("event_names", F.array().cast("array<string>"))).withColumn("crowd", crowd).drop("_most")
