@@ -13,10 +13,11 @@ def with_ctes(names, body: str) -> str:
     order: list[str] = []
 
     def visit(n):
+        if n in order:
+            return
         for d in CTES[n][0]:
             visit(d)
-        if n not in order:
-            order.append(n)
+        order.append(n)
 
     for n in names:
         visit(n)
