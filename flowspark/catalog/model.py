@@ -19,8 +19,8 @@ cte("gridc", "dense caps ccells reopen", """SELECT d.*, ceiling, least(reading+0
 WHERE ceiling>0 AND NOT EXISTS (SELECT 1 FROM ccells c WHERE c.station_key=d.station_key AND c.slot=d.slot) AND NOT EXISTS (SELECT 1 FROM reopen r WHERE r.station_key=d.station_key AND r.slot=d.slot)""")
 cte("fw0", "gridc", "SELECT station_key, avg(xc) AS w FROM gridc GROUP BY 1")
 cte("fm0", "gridc", "SELECT DISTINCT slot, 1.0::DOUBLE AS m FROM gridc")
-N_ITERS, FULL_ITERS = 3, 25
-for i in range(1, FULL_ITERS + 1):
+N_ITERS = 3
+for i in range(1, N_ITERS + 1):
     cte(f"fs{i}", f"gridc fw{i-1}", f"SELECT slot, daytype, tod, sum(xc/w) AS s, sum(unc) AS u FROM gridc JOIN fw{i-1} USING(station_key) GROUP BY 1,2,3")
     cte(f"fp{i}", f"fs{i} fm{i-1}", f"SELECT daytype, tod, sum(s/m)/greatest(sum(u),1) AS p FROM fs{i} JOIN fm{i-1} USING(slot) GROUP BY 1,2")
     cte(f"fm{i}", f"fs{i} fp{i}", f"SELECT slot, p, s/p/greatest(u,1) AS m FROM fs{i} JOIN fp{i} USING(daytype,tod)")
@@ -81,15 +81,6 @@ def _(n):
     return ft.fit_core(ft.fit_grid(n.dense, n.closures, n.params, n.clock), N_ITERS)[0]
 
 
-@register("m3_full_fit", "station_key w:f rank:i", ctes=f"fw{FULL_ITERS}", sql=f"SELECT station_key, w, row_number() OVER (ORDER BY w DESC, station_key) AS rank FROM fw{FULL_ITERS}")
-def _(n):
-    """All 25 alternating updates."""
-    from pyspark.sql import Window
-
-    w = ft.fit_core(ft.fit_grid(n.dense, n.closures, n.params, n.clock), FULL_ITERS)[0]
-    return w.withColumn("rank", F.row_number().over(Window.orderBy(F.col("w").desc(), "station_key")))  # one row per station
-
-
 @register("a4_compare_to_model", "station_key day:d observed:i model:f2 without_events:f2 vs_model:f vs_without_events:f event_part:f", ctes="risk", sql="""
 SELECT station_key, day, sum(reading) observed, sum(expected) model, sum(expected0) without_events, sum(reading)/nullif(sum(expected),0) vs_model, sum(reading)/nullif(sum(expected0),0) vs_without_events, (sum(expected)-sum(expected0))/nullif(sum(expected),0) event_part FROM risk GROUP BY 1,2""")
 def _(n):
