@@ -1,11 +1,9 @@
 """Close names against all pairs, the multimodal build, batched route deviations and grams of texts against plain Python."""
 
-import itertools
 import random
 from difflib import SequenceMatcher
 
 import pytest
-from pyspark.sql import functions as F
 
 from flowspark.functions import text as tx
 from flowspark.operators import joins as jn
@@ -97,6 +95,3 @@ def test_mentions_keep_equal_rows_and_span_blocks(spark):
         assert got == sorted([(1, "old town hall", 1), (1, "town", 5), (1, "hall", 10)] * 2)
     every = [(r.alias, r.pos) for r in jn.mentions(texts.limit(1), al, longest=False).collect()]
     assert sorted(every) == [("hall", 10), ("old town", 1), ("old town hall", 1), ("town", 5)]
-
-
-_ = (itertools, F)
